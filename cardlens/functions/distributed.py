@@ -19,6 +19,11 @@ HOT_SHARE = 10_000          # a key is hot above 1/HOT_SHARE of all rows, hence
 HOT_MIN_ROWS = 1_000_000    # and never below this many rows
 
 
+def with_scalars(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
+    """The fields of a one-row frame as a struct column on each row: one scalar subquery however often it is used."""
+    return df.withColumn(name, one_row.select(F.struct(*one_row.columns).alias("s")).scalar())
+
+
 def value_bin(c: Column) -> Column:
     """Order-preserving logarithmic bin; doubles span fewer than 400 000 bins, money some thousands."""
     v = c.cast("double")
@@ -93,8 +98,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, measures: Map
     )
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """1-based rank over the whole frame from a distributed sort.
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", total: str = "total") -> DataFrame:
+    """1-based rank over the whole frame and the row count, from a distributed sort.
 
     Range partitions are sorted by themselves and written once (checkpoint), so that the partition sizes and the rows
     read later belong to the same split. The offsets frame has one row per partition.
@@ -104,7 +109,8 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+                           F.sum("_size").over(W.partitionBy()).alias(total))
     inner = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import heaviest_value, percentiles, top_values, wide_percentiles
+from cardlens.functions.distributed import heaviest_value, percentiles, top_values, wide_percentiles, with_scalars
 from cardlens.functions.scalars import (anchored_filter, day, filter_transactions, hour_expr, is_missing, mean_of,
                                         percent, ratio, sum_if, truncate_time)
 
@@ -166,12 +166,13 @@ def top_by(df: DataFrame, dim: str, n: int = 10, measure: str = "volume") -> Dat
     groups = df.where(~is_missing(dim)).groupBy(dim).agg(
         F.count("*").alias("transactions"), F.sum("amount_uzs").alias("volume"),
         mean_of("amount_uzs").alias("avg_amount"), F.countDistinct("hpan").alias("cards"))
-    whole = groups.agg(F.struct(F.sum("transactions").alias("n"), F.sum("volume").alias("v"))).scalar()
+    whole = F.col("_whole")
+    best = groups.orderBy(F.col(measure).desc(), dim).limit(n)
     return (
-        groups.orderBy(F.col(measure).desc(), dim).limit(n)
+        with_scalars(best, "_whole", groups.agg(F.sum("transactions").alias("n"), F.sum("volume").alias("v")))
         .withColumns({"share_transactions": percent(F.col("transactions"), whole["n"]),
                       "share_volume": percent(F.col("volume"), whole["v"])})
-        .orderBy(F.col(measure).desc(), dim)
+        .drop("_whole").orderBy(F.col(measure).desc(), dim)
     )
 
 
