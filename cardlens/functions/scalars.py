@@ -101,6 +101,23 @@ def bool_to_flag(c: Column | str) -> Column:
 
 # ---- filling -------------------------------------------------------------------------------------------------
 
+def impute_median_unknown(df: DataFrame, numbers: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """Missing numbers become the exact median of their column, missing texts ``Unknown``.
+
+    The columns are the groups of one quantile job.
+    """
+    from cardlens.functions.distributed import wide_percentiles, with_scalars
+
+    out = df
+    if numbers:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], list(numbers), "column", "v")
+        medians = wide_percentiles(long, ["column"], "v", {"median": 0.5})
+        row = medians.agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in numbers])
+        out = with_scalars(out, "_median", row).withColumns(
+            {c: F.coalesce(F.col(c).cast("double"), F.col("_median")[c]) for c in numbers}).drop("_median")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in texts})
+
+
 def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Constant per column; a missing text is also the empty string."""
     kinds = dict(df.dtypes)
@@ -121,20 +138,32 @@ def normalize_strings(df: DataFrame, upper: Sequence[str] = (), trim: Sequence[s
     return df.withColumns({name: tidy(name) for name in dict.fromkeys([*upper, *trim])})
 
 
+def hash_number(key: Column | str, salt: str = "") -> Column:
+    """A number below 2^32 that depends on the key (and salt) only."""
+    text = F.concat(col(key).cast("string"), F.lit(salt))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_impute(c: Column | str, allowed: Sequence, key: Column | str, missing: Column | None = None) -> Column:
     """Replace missing values by a choice from the allowed set that depends on the row key only."""
     options = F.array(*[F.lit(a) for a in allowed])
-    pick = F.element_at(options, (F.pmod(F.xxhash64(col(key)), F.lit(len(allowed))) + 1).cast("int"))
+    pick = F.element_at(options, (hash_number(key) % len(allowed) + 1).cast("int"))
     return F.when(is_missing(c) if missing is None else missing, pick).otherwise(col(c))
 
 
-def region_ip_fill(ip: Column | str, region: Column | str, key: Column | str) -> Column:
+def region_ip_fill(ip: Column | str, region: Column | str, key: Column | str, missing: Column | None = None) -> Column:
     """Missing address from the region's prefix, or the general prefix; last parts are hashed from the key."""
     prefixes = F.create_map(*[F.lit(x) for pair in REGION_IP_PREFIX.items() for x in pair])
-    octet = lambda seed: (F.pmod(F.xxhash64(col(key), F.lit(seed)), F.lit(254)) + 1).cast("string")
-    general = F.concat(F.lit(ANY_IP_PREFIX), octet(1), F.lit("."), octet(2))
-    known = F.concat(F.try_element_at(prefixes, col(region)), octet(2))
-    return F.when(is_missing(ip), F.coalesce(known, general)).otherwise(col(ip))
+    octet = lambda salt: (hash_number(key, salt) % 254 + 1).cast("string")
+    general = F.concat(F.lit(ANY_IP_PREFIX), octet("a"), F.lit("."), octet("b"))
+    known = F.concat(F.try_element_at(prefixes, col(region)), octet("b"))
+    return F.when(is_missing(ip) if missing is None else missing, F.coalesce(known, general)).otherwise(col(ip))
+
+
+def hash_card(key: Column | str, prefix: str = "8600") -> Column:
+    """A repeatable 16-digit stand-in for an unusable card number; equal keys keep equal cards."""
+    digits = F.concat(F.lpad(hash_number(key, "x").cast("string"), 10, "0"), F.lpad((hash_number(key, "y") % 100).cast("string"), 2, "0"))
+    return F.concat(F.lit(prefix), digits)
 
 
 def unique_txn_code(stamp: Column | str, card: Column | str, row_id: Column | str) -> Column:
