@@ -332,10 +332,13 @@ def fix_formats(df: DataFrame, key: str = "transaction_id", region: str = "emite
 
 def clip_outliers(df: DataFrame, amount: str = "amount_uzs") -> DataFrame:
     """Absolute limits first, then the 3×IQR fences of the limited amounts; values are clipped, never redrawn."""
-    limited = df.withColumn(amount, F.greatest(F.least(F.col(amount).cast("double"), F.lit(float(LARGEST_AMOUNT))), F.lit(float(LEAST_AMOUNT))))
+    def between(c: Column, low: Column, high: Column) -> Column:
+        return F.when(c.isNotNull(), F.greatest(F.least(c, high), low))
+
+    value = F.col(amount).cast("double")
+    limited = df.withColumn(amount, between(value, F.lit(float(LEAST_AMOUNT)), F.lit(float(LARGEST_AMOUNT))))
     fenced = _with_fences(limited, F.col(amount))
-    clipped = F.greatest(F.least(F.col(amount), F.col("_fence.high")), F.col("_fence.low"))
-    return fenced.withColumn(amount, F.when(F.col(amount).isNotNull(), clipped)).drop("_a", "_fence")
+    return fenced.withColumn(amount, between(F.col(amount), F.col("_fence.low"), F.col("_fence.high"))).drop("_a", "_fence")
 
 
 def improve(df: DataFrame, order: Sequence[str] = ("transaction_date", "transaction_id"), per_card: int = 100) -> DataFrame:

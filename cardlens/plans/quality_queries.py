@@ -327,7 +327,7 @@ def _(spark, d):
 
 PSI = TXN + """, ba AS (SELECT CAST(amount AS DOUBLE) AS v FROM txn WHERE transaction_date < DATE '1999-01-01'),
 cu AS (SELECT CAST(amount AS DOUBLE) * 1.2 AS v FROM txn WHERE transaction_date >= DATE '1999-01-01'),
-ed AS (SELECT i, quantile_cont(v, i / 10.0) AS e FROM ba, range(0, 11) r(i) GROUP BY i),
+ed AS (SELECT unnest(range(0, 11)) AS i, unnest(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM ba),
 lo AS (SELECT a.i + 1 AS bin, a.e AS l, b.e AS h FROM ed a JOIN ed b ON b.i = a.i + 1),
 cb AS (SELECT bin, (SELECT count(*) FROM ba WHERE (v > l OR (bin = 1 AND v = l)) AND v <= h) AS n_base,
     (SELECT count(*) FROM cu WHERE (v > l OR (bin = 1 AND v = l)) AND v <= h) AS n_cur FROM lo),
@@ -355,8 +355,8 @@ def _(spark, d):
     return st.psi(base, cur, "amount_uzs")
 
 
-@query("quantile_shift", TXN + """, a AS (SELECT i, quantile_cont(CAST(amount AS DOUBLE), i / 10.0) AS p FROM txn, range(1, 10) r(i) WHERE transaction_date < DATE '1999-01-01' GROUP BY i),
-b AS (SELECT i, quantile_cont(CAST(amount AS DOUBLE) * 1.2, i / 10.0) AS c FROM txn, range(1, 10) r(i) WHERE transaction_date >= DATE '1999-01-01' GROUP BY i),
+@query("quantile_shift", TXN + """, a AS (SELECT unnest(range(1, 10)) AS i, unnest(quantile_cont(CAST(amount AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS p FROM txn WHERE transaction_date < DATE '1999-01-01'),
+b AS (SELECT unnest(range(1, 10)) AS i, unnest(quantile_cont(CAST(amount AS DOUBLE) * 1.2, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS c FROM txn WHERE transaction_date >= DATE '1999-01-01'),
 s AS (SELECT round(avg(abs(c - p) / p), 6) AS shift FROM a JOIN b USING (i))
 SELECT shift, CASE WHEN shift < 0.1 THEN 'stable' WHEN shift < 0.25 THEN 'moderate' ELSE 'critical' END AS status FROM s""")
 def _(spark, d):

@@ -82,7 +82,7 @@ def sniff_separator(spark: SparkSession, path: str, lines: int = 20) -> str:
 
 def pick_encoding(spark: SparkSession, path: str) -> str:
     """The first table that can decode all lines: UTF-8, the Cyrillic one, Latin-1. One or two distributed passes."""
-    if not spark.read.text(path).where(F.col("value").contains("\ufffd")).limit(1).count():
+    if not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count():
         return UTF8
     lines = spark.read.option("encoding", LATIN1).option("sep", "\x01").option("quote", "").csv(path)
     return LATIN1 if lines.where(F.col("_c0").contains("\x98")).limit(1).count() else CP1251
