@@ -7,6 +7,8 @@ bounded pieces: value bins, time slices or range partitions.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +19,7 @@ from cardlens.session import cut_lineage
 BINS_PER_E_FOLD = 256
 HOT_SHARE = 10_000          # a key is hot above 1/HOT_SHARE of all rows, hence at most HOT_SHARE hot keys
 HOT_MIN_ROWS = 1_000_000    # and never below this many rows
+SMALL_GROUP_ROWS = 100_000  # up to this many rows a group may be sorted in one piece
 
 
 def with_scalars(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
@@ -24,18 +27,47 @@ def with_scalars(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
     return df.withColumn(name, one_row.select(F.struct(*one_row.columns).alias("s")).scalar())
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys meet.
+
+    No not-null filters are inferred, so a frame that feeds both sides keeps one common plan and its shuffle is reused.
+    """
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, match).drop(*[f"_r_{c}" for c in on])
+
+
 def value_bin(c: Column) -> Column:
     """Order-preserving logarithmic bin; doubles span fewer than 400 000 bins, money some thousands."""
     v = c.cast("double")
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * BINS_PER_E_FOLD)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def groups_are_small(df: DataFrame, keys: Sequence[str], limit: int = SMALL_GROUP_ROWS) -> bool:
+    """Whether no group has more rows than the limit: one counting job over the key columns, one number back."""
+    if not keys:
+        return False
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return (sizes.agg(F.max("_n")).first()[0] or 0) <= limit
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], small: bool = False) -> DataFrame:
     """Exact interpolated percentiles per group: (keys, prob, value).
 
-    Values are counted first; bin totals locate the wanted ranks; only the bins that hold one are then ordered.
+    Values are counted first; bin totals locate the wanted ranks; only the bins that hold one are then ordered. With
+    ``small`` (see ``groups_are_small``) each group is sorted in one piece.
     """
     keys = list(keys)
+    if small:
+        group = W.partitionBy(*keys)
+        ranked = df.where(F.col(value).isNotNull()).select(
+            *keys, F.col(value).cast("double").alias("_v"), F.count("*").over(group).alias("_total"),
+            (F.row_number().over(group.orderBy(F.col(value).cast("double"))) - 1).alias("_r"))
+        near = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
+            "_pos", F.col("prob") * (F.col("_total") - 1)).where(F.abs(F.col("_r") - F.col("_pos")) < 1)
+        ends = near.groupBy(*keys, "prob", "_pos").agg(F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
+        step = (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo"))
+        return ends.select(*keys, "prob", (F.col("_vlo") + step).alias("value"))
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
@@ -56,7 +88,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     )
     inside = W.partitionBy(*keys, "prob", "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     placed = (
-        counted.join(targets, [*keys, "_bin"])
+        join_null_safe(counted, targets, [*keys, "_bin"])
         .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
@@ -68,9 +100,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
         (F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
-def wide_percentiles(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float]) -> DataFrame:
+def wide_percentiles(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float], small: bool = False) -> DataFrame:
     """Percentiles as one named column each."""
-    long = percentiles(df, keys, value, list(names.values()))
+    long = percentiles(df, keys, value, list(names.values()), small)
     picks = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in names.items()]
     return long.groupBy(*keys).agg(*picks)
 
@@ -92,7 +124,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, measures: Map
     )
     inside = W.partitionBy(*keys, "_bin").orderBy(way(order)).rowsBetween(W.unboundedPreceding, 0)
     return (
-        binned.join(offsets, [*keys, "_bin"])
+        join_null_safe(binned, offsets, [*keys, "_bin"])
         .withColumns({new: F.col(f"_off_{new}") + F.sum(m).over(inside) for new, m in measures.items()})
         .drop("_bin", *[f"_off_{new}" for new in measures])
     )

@@ -193,12 +193,11 @@ def select_series(daily: DataFrame, coverage: float = 0.9, max_merchants: int =
     top = daily.groupBy("mcc").agg(F.sum("y").alias("_v")).orderBy(F.col("_v").desc(), "mcc").limit(max_mcc).select("mcc")
     kept = daily.join(F.broadcast(top), "mcc")
     totals = kept.groupBy("mcc", "merchant_key").agg(F.sum("y").alias("v"))
-    chosen = cumulative_share(totals, "mcc", "merchant_key", "v", coverage, max_merchants).select("mcc", "merchant_key")
-    selected = kept.join(chosen, ["mcc", "merchant_key"], "left_semi").select("mcc", "merchant_key", "ds", "y")
-    by_day = kept.groupBy("mcc", "ds").agg(F.sum("y").alias("y"))
-    covered = selected.groupBy("mcc", "ds").agg(F.sum("y").alias("_c"))
-    rest = by_day.join(covered, ["mcc", "ds"], "left").select(
-        "mcc", F.lit(OTHER).alias("merchant_key"), "ds", F.greatest(F.col("y") - F.coalesce("_c", F.lit(0.0)), F.lit(0.0)).alias("y"))
+    chosen = cumulative_share(totals, "mcc", "merchant_key", "v", coverage, max_merchants).select("mcc", "merchant_key", F.lit(True).alias("_own"))
+    marked = kept.join(chosen, ["mcc", "merchant_key"], "left")
+    selected = marked.where(F.col("_own")).select("mcc", "merchant_key", "ds", "y")
+    rest = marked.groupBy("mcc", "ds").agg(F.coalesce(F.sum(F.when(F.col("_own").isNull(), F.col("y"))), F.lit(0.0)).alias("y")).select(
+        "mcc", F.lit(OTHER).alias("merchant_key"), "ds", F.greatest("y", F.lit(0.0)).alias("y"))
     return selected.unionByName(rest)
 
 

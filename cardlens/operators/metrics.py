@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import heaviest_value, percentiles, top_values, wide_percentiles, with_scalars
+from cardlens.functions.distributed import groups_are_small, heaviest_value, percentiles, top_values, wide_percentiles, with_scalars
 from cardlens.functions.scalars import (anchored_filter, day, filter_transactions, hour_expr, is_missing, mean_of,
                                         percent, ratio, sum_if, truncate_time)
 
@@ -21,13 +21,12 @@ def _distinct(name: str, approx: bool) -> Column:
     return F.approx_count_distinct(name) if approx else F.countDistinct(name)
 
 
-def _with_median(df: DataFrame, base: DataFrame, keys: Sequence[str], amount: str, name: str, approx: bool) -> DataFrame:
-    """Add the group median: exact by counted values, or the sketch when ``approx``."""
+def _grouped_with_median(df: DataFrame, keys: Sequence[str], amount: str, median: str, approx: bool, aggregates: Sequence[Column]) -> DataFrame:
+    """Aggregates and the median of each group: the sketch when ``approx``, else exact by the way the group sizes allow."""
     if approx:
-        side = df.groupBy(*keys).agg(F.percentile_approx(F.col(amount).cast("double"), 0.5).alias(name))
-    else:
-        side = wide_percentiles(df, keys, amount, {name: 0.5})
-    return base.join(side, list(keys), "left")
+        return df.groupBy(*keys).agg(*aggregates, F.percentile_approx(F.col(amount).cast("double"), 0.5).alias(median))
+    medians = wide_percentiles(df, keys, amount, {median: 0.5}, small=groups_are_small(df, keys))
+    return df.groupBy(*keys).agg(*aggregates).join(medians, list(keys), "left")
 
 
 def daily_metrics(df: DataFrame, company: str | None = None, date_from=None, date_to=None,
@@ -35,7 +34,7 @@ def daily_metrics(df: DataFrame, company: str | None = None, date_from=None, dat
     """Per day and company: volumes, exact median, distinct cards and merchants, fraud share, five top codes."""
     df = filter_transactions(df, company=company, date_from=date_from, date_to=date_to)
     keys = ["transaction_date", "company_id"]
-    base = df.groupBy(*keys).agg(
+    base = _grouped_with_median(df, keys, "amount", "median_amount", approx, [
         F.count("*").alias("transaction_count"),
         F.sum("amount").alias("total_volume"),
         mean_of("amount").alias("avg_amount"),
@@ -46,8 +45,7 @@ def daily_metrics(df: DataFrame, company: str | None = None, date_from=None, dat
         percent(F.count_if(_fraud()), F.count("*")).alias("fraud_rate"),
         F.max("amount").alias("max_transaction"),
         F.min("amount").alias("min_transaction"),
-    )
-    base = _with_median(df, base, keys, "amount", "median_amount", approx)
+    ])
     return (
         base.join(top_values(df, keys, "mcc_code", 5, "top_mcc_codes"), keys, "left")
         .orderBy(F.col("transaction_date").desc(), "company_id")
@@ -107,14 +105,13 @@ def decline_rate_by_hour(df: DataFrame, accepted: Sequence[str] = ("", "00", "0"
 
 def company_comparison(df: DataFrame, days: int = 30, as_of=None, approx: bool = False) -> DataFrame:
     df = anchored_filter(df, days, as_of)
-    base = df.groupBy("company_id").agg(
+    base = _grouped_with_median(df, ["company_id"], "amount", "median_transaction", approx, [
         F.count("*").alias("total_transactions"), F.sum("amount").alias("total_volume"),
         mean_of("amount").alias("avg_transaction"),
         _distinct("card_masked", approx).alias("unique_cards"),
         _distinct("merchant_id", approx).alias("unique_merchants"),
         percent(F.count_if(_fraud()), F.count("*")).alias("fraud_rate"),
-        F.max("amount").alias("max_transaction"))
-    base = _with_median(df, base, ["company_id"], "amount", "median_transaction", approx)
+        F.max("amount").alias("max_transaction")])
     top = heaviest_value(df, ["company_id"], "mcc_code", "top_mcc").drop("top_mcc_count")
     return base.join(top, "company_id", "left").orderBy(F.col("total_volume").desc(), "company_id")
 

@@ -81,21 +81,20 @@ def psi_bins(baseline: DataFrame, current: DataFrame, col: str, bins: int = 10,
     range are left out, or put into the end bins with ``open_ends``. Proportions have a floor.
     """
     probs = [i / bins for i in range(bins + 1)]
-    found = percentiles(baseline, [], col, probs)
-    edges = found.agg(F.array_sort(F.collect_set("value")).alias("e"))
+    found = {row["value"] for row in percentiles(baseline, [], col, probs).collect()}  # bins + 1 numbers
+    edges = sorted(found)
+    n_bins = len(edges) - 1
 
     def counted(df: DataFrame, side: str) -> DataFrame:
         v = F.col(col).cast("double")
-        rows = with_scalars(df.where(F.col(col).isNotNull()).select(v.alias("v")), "_s", edges)
-        below = F.size(F.filter(F.col("_s.e"), lambda e: e < F.col("v")))
-        n_bins = F.size("_s.e") - 1
-        at = F.when(F.col("v") == F.element_at("_s.e", 1), 1).otherwise(below)
+        below = sum((v > e).cast("int") for e in edges) if edges else F.lit(0)
+        at = F.when(v == edges[0], 1).otherwise(below) if edges else F.lit(0)
         if open_ends:
-            at = F.greatest(F.least(at, n_bins), F.lit(1))
-        return rows.select(at.alias("bin"), n_bins.alias("n")).where(F.col("bin").between(1, F.col("n"))).groupBy("bin").agg(
-            F.count("*").alias(side))
+            at = F.greatest(F.least(at, F.lit(n_bins)), F.lit(1))
+        # Out-of-range bins are left out by the join with the grid: filtering rows first would compute each bin twice.
+        return df.groupBy(at.alias("bin")).agg(F.count(col).alias(side))
 
-    grid = edges.select(F.explode(F.sequence(F.lit(1), F.size("e") - 1)).alias("bin"))
+    grid = baseline.sparkSession.range(1, n_bins + 1).select(F.col("id").cast("int").alias("bin"))
     wide = grid.join(counted(baseline, "n_base"), "bin", "left").join(counted(current, "n_cur"), "bin", "left").na.fill(0)
     everyone = W.partitionBy()
     share = lambda c: F.greatest(F.coalesce(ratio(F.col(c), F.sum(c).over(everyone)), F.lit(0.0)), F.lit(floor))

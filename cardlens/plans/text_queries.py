@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cardlens.operators import text as t
 from cardlens.plans.registry import query
 from cardlens.sources.model import table
+from cardlens.sources.readers import spread_small
 
 CHUNKS = r"""WITH src AS ({source}), w AS (SELECT doc_id, section, list_filter(string_split_regex(content, '\s+'), lambda x: x <> '') AS ws, content FROM src),
 z AS (SELECT *, CASE WHEN len(ws) > 0 THEN greatest(CAST(floor(500::DOUBLE / (CAST(list_sum(list_transform(ws[1:100], lambda x: length(x))) AS DOUBLE) / len(ws[1:100]) + 1)) AS INT), 1) END AS pc FROM w),
@@ -26,7 +27,7 @@ STOPS = ["the", "and", "of", "de", "la", "der"]
 
 
 def _docs(spark, d, kind: str):
-    return table(spark, d, "documents").select("doc_id", F.lit(kind).alias("type"), F.col("text").alias("content"))
+    return spread_small(table(spark, d, "documents"), "doc_id").select("doc_id", F.lit(kind).alias("type"), F.col("text").alias("content"))
 
 
 def _chunks(spark, d):

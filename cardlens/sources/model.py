@@ -11,6 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cardlens.sources.readers import spread_small
 
 # Merchant category codes used for the test data.
 MCC_CODES = [4111, 4121, 5251, 5311, 5411, 5541, 5661, 5691, 5732, 5812, 5813, 5814, 5912, 5942, 5999, 6011,
@@ -90,8 +93,15 @@ COLUMNS: dict[str, tuple[str, Callable[[], Column]]] = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the files once, later reads need no look at the footers."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _joined(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
@@ -107,7 +117,7 @@ def _joined(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     for name in names:
         if COLUMNS[name][0]:
             need(COLUMNS[name][0])
-    fact = table(spark, sf_dir, "lineitem")
+    fact = spread_small(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return reduce(
         lambda left, t: left.join(table(spark, sf_dir, t), F.col(_LINKS[t][0]) == F.col(_LINKS[t][1])), needed, fact)
 
@@ -131,9 +141,8 @@ DIRTY_COLUMNS = ["transaction_id", "transaction_code", "hpan", "pinfl", "emitent
 def transactions_dirty(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """Text-only variant with planted faults; later faults win over earlier ones."""
     chosen = list(names) or DIRTY_COLUMNS
-    asked = list(dict.fromkeys(chosen + [n for n in ("mcc", "amount_uzs", "transaction_date") if n in chosen]))
     k = F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_partkey")
-    clean = {n: COLUMNS[n][1]().cast("string") for n in asked}
+    clean = {n: COLUMNS[n][1]().cast("string") for n in chosen}
     every = lambda m: k % m == 0
     faults: dict[str, Callable[[Column], Column]] = {
         "merchant_name": lambda c: F.when(every(17), "").otherwise(c),
@@ -147,5 +156,5 @@ def transactions_dirty(spark: SparkSession, sf_dir: str, *names: str) -> DataFra
         "transaction_date": lambda c: F.when(every(53), F.date_format(_day(), "dd.MM.yyyy")).otherwise(c),
         "p2p_type": lambda c: F.when(every(59), "").otherwise(c),
     }
-    source = _joined(spark, sf_dir, asked)
+    source = _joined(spark, sf_dir, chosen)
     return source.select(*[(faults[n](clean[n]) if n in faults else clean[n]).alias(n) for n in chosen])
