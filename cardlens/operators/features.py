@@ -21,24 +21,26 @@ ALL_FEATURES = (BASE_FEATURES + CARD_FEATURES + [f"card_{c}" for c in CARD_GRAPH
 BASIC_FEATURES = BASE_FEATURES + ["mcc"]
 
 
-def card_features(df: DataFrame, as_of=None, days: Sequence[int] = (7, 30, 90), min_txns: int = 5) -> DataFrame:
+def card_features(df: DataFrame, as_of=None, days: Sequence[int] = (7, 30, 90), min_txns: int = 5, approx: bool = False) -> DataFrame:
     """Activity of each card up to the anchor day in one aggregation.
 
     ``days`` are the three horizons; column names keep the labels 7d, 30d and 90d. A horizon of N days reaches back to
-    ``anchor - N``, both ends included.
+    ``anchor - N``, both ends included. ``approx`` estimates the distinct counts, which spares the row expansion that
+    several exact ones need.
     """
+    distinct = F.approx_count_distinct if approx else F.countDistinct
     last = F.col("_last")
     since = lambda n: F.col("transaction_date") >= F.date_sub(last, n)
     rows = df.withColumn("_last", newest_day(df, as_of)).where(
         ~is_missing("hpan") & F.col("transaction_date").between(F.date_sub(last, days[2]), last))
     spans = {"7d": since(days[0]), "30d": since(days[1]), "90d": since(days[2])}
     p2p_30 = (F.col("p2p_flag") == 1) & spans["30d"]
-    inside = lambda test, c: F.countDistinct(F.when(test, F.col(c)))
+    inside = lambda test, c: distinct(F.when(test, F.col(c)))
     aggregates: list[Column] = []
     for label, test in spans.items():
         aggregates += [F.count_if(test).alias(f"txn_count_{label}"), sum_if(test, "amount_uzs").alias(f"txn_amount_{label}"),
                        F.coalesce(mean_of(F.when(test, F.col("amount_uzs"))), F.lit(0.0)).alias(f"avg_txn_amount_{label}")]
-    per_day = ratio(F.count("*"), F.countDistinct("transaction_date"))
+    per_day = ratio(F.count("*"), distinct(F.col("transaction_date")))
     aggregates += [
         F.count_if(p2p_30).alias("p2p_count_30d"), sum_if(p2p_30, "amount_uzs").alias("p2p_amount_30d"),
         inside(spans["7d"], "mcc").alias("unique_mcc_7d"), inside(spans["30d"], "mcc").alias("unique_mcc_30d"),

@@ -219,11 +219,10 @@ def hierarchical_forecast(leaves: DataFrame, horizon: int = 14, model: str = "ma
 def top_down(total_forecast: DataFrame, history: DataFrame, item: str = "mcc") -> DataFrame:
     """A total forecast spread over items by their share of the history.
 
-    The forecast has one row per future day; each day carries the items' shares, so the result is days × items rows.
+    The forecast has one row per future day; its rows ride on each item as one small array, so no join is needed.
     """
     shares = history.groupBy(item).agg(F.sum("y").alias("_v"))
     whole = shares.agg(F.sum("_v")).scalar()
-    keyed = shares.select(item, ratio(F.col("_v"), whole).alias("share"), F.lit(1).alias("_k"))
-    return total_forecast.withColumn("_k", F.lit(1)).join(keyed, "_k").select(item, "ds", (F.col("yhat") * F.col("share")).alias("yhat"), "share")
-
-
+    days = total_forecast.agg(F.collect_list(F.struct("ds", "yhat"))).scalar()
+    spread = shares.select(item, ratio(F.col("_v"), whole).alias("share"), F.explode(days).alias("_d"))
+    return spread.select(item, "_d.ds", (F.col("_d.yhat") * F.col("share")).alias("yhat"), "share")

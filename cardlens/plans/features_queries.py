@@ -394,18 +394,19 @@ def _(spark, d):
 
 
 MAPS = DIRTY + """, m1 AS (SELECT merchant, mcc FROM (SELECT CAST(merchant AS VARCHAR) AS merchant, mcc,
-    row_number() OVER (PARTITION BY merchant ORDER BY count(*) DESC, mcc) AS r FROM txn WHERE merchant % 3 > 0 GROUP BY merchant, mcc) WHERE r = 1),
+    row_number() OVER (PARTITION BY merchant ORDER BY count(*) DESC, mcc) AS r FROM txn WHERE amount >= 104000 GROUP BY merchant, mcc) WHERE r = 1),
 m2 AS (SELECT merchant_name, mcc FROM (SELECT merchant_name, mcc, row_number() OVER (PARTITION BY merchant_name ORDER BY count(*) DESC, mcc) AS r
-    FROM txn WHERE merchant % 2 = 0 GROUP BY merchant_name, mcc) WHERE r = 1),
+    FROM txn GROUP BY merchant_name, mcc) WHERE r = 1),
 fixed AS (SELECT transaction_id, coalesce(m1.mcc, m2.mcc, TRY_CAST(nullif(regexp_extract(dirty.mcc, '(\\d+)', 1), '') AS INT), 0) AS mcc
   FROM dirty LEFT JOIN m1 ON dirty.merchant = m1.merchant LEFT JOIN m2 ON dirty.merchant_name = m2.merchant_name)
 """
 
 
 def _repaired(spark, d):
-    trusted = transactions(spark, d, "merchant", "merchant_name", "mcc")
-    by_id = j.mcc_map(trusted.where("merchant % 3 > 0").withColumn("merchant", F.col("merchant").cast("string")), "merchant")
-    by_name = j.mcc_map(trusted.where("merchant % 2 = 0"), "merchant_name")
+    # Codes by id are known from the very large payments only, so most merchants fall back to the code of their name.
+    trusted = transactions(spark, d, "merchant_id", "merchant_name", "mcc", "amount_uzs").withColumnRenamed("merchant_id", "merchant")
+    by_id = j.mcc_map(trusted.where("amount_uzs >= 104000"), "merchant")
+    by_name = j.mcc_map(trusted, "merchant_name")
     return j.apply_mcc_map(transactions_dirty(spark, d, "transaction_id", "merchant", "merchant_name", "mcc"), by_id, by_name)
 
 

@@ -67,11 +67,10 @@ def _(spark, d):
                                             "p2p_type": ["p2p_type"], "rday": ["rday", "relative_day"]}, {"amount_uzs": 0.0, "rday": 0})
 
 
-@query("conform_to_schema", DIRTY + """SELECT transaction_id, coalesce(TRY_CAST(mcc AS INT), 0) AS mcc,
-  greatest(coalesce(TRY_CAST(amount_uzs AS DOUBLE), 0), 0) AS amount_uzs, 860 AS currency, TRY_CAST(hour_num AS BIGINT) AS hour_num, merchant_name FROM dirty
-  WHERE mcc NOT LIKE '%.0'""")
+@query("conform_to_schema", DIRTY + """SELECT transaction_id, coalesce(CASE WHEN mcc NOT LIKE '%.%' THEN TRY_CAST(mcc AS INT) END, 0) AS mcc,
+  greatest(coalesce(TRY_CAST(amount_uzs AS DOUBLE), 0), 0) AS amount_uzs, 860 AS currency, TRY_CAST(hour_num AS BIGINT) AS hour_num, merchant_name FROM dirty""")
 def _(spark, d):
-    raw = transactions_dirty(spark, d, "transaction_id", "mcc", "amount_uzs", "hour_num", "merchant_name").where(~F.col("mcc").endswith(".0"))
+    raw = transactions_dirty(spark, d, "transaction_id", "mcc", "amount_uzs", "hour_num", "merchant_name")
     return typing.conform_to_schema(raw, {"transaction_id": "string", "mcc": "int", "amount_uzs": "double", "currency": "int",
                                           "hour_num": "bigint", "merchant_name": "string"},
                                     {"mcc": 0, "amount_uzs": 0, "currency": 860}, unsigned=["amount_uzs"])

@@ -48,14 +48,11 @@ def publish(df: DataFrame, live: str, checks: Sequence[Column]) -> DataFrame:
     return table_extent(spark.table(live))
 
 
-def write_by_month(df: DataFrame, path: str, date_col: str = "transaction_date", order: Sequence[str] = ("hpan", "transaction_id"),
-                   parts_per_month: int = 1) -> None:
-    """Partition by month, sorted by day and key inside. A heavy month is spread over ``parts_per_month`` tasks by a
-    hash of the row key, so that no task holds a whole month unless asked to."""
-    month = F.date_format(date_col, "yyyyMM")
-    spread = F.pmod(F.xxhash64(*order), F.lit(parts_per_month))
-    (df.withColumn("month", month).withColumn("_spread", spread).repartition("month", "_spread")
-     .sortWithinPartitions("month", date_col, *order).drop("_spread")
+def write_by_month(df: DataFrame, path: str, date_col: str = "transaction_date", order: Sequence[str] = ("hpan", "transaction_id")) -> None:
+    """Partition by month, sorted by day and key inside. Rows are split by ranges of (month, day, key), so a heavy month or
+    card is spread over several tasks and files whose statistics do not overlap."""
+    keys = ["month", date_col, *order]
+    (df.withColumn("month", F.date_format(date_col, "yyyyMM")).repartitionByRange(*keys).sortWithinPartitions(*keys)
      .write.mode("overwrite").partitionBy("month").parquet(path))
 
 

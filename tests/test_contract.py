@@ -46,7 +46,7 @@ def test_all_columns_build_and_ids_are_unique(spark):
 
 def test_month_filter_prunes_partitions(spark):
     path = writers.scratch(spark, "months")
-    writers.write_by_month(transactions(spark, SMALL, "transaction_id", "transaction_date", "hpan"), path, parts_per_month=2)
+    writers.write_by_month(transactions(spark, SMALL, "transaction_id", "transaction_date", "hpan"), path)
     plan = _plan(spark.read.parquet(path).where("month = '199903'"))
     assert re.search(r"PartitionFilters: \[[^\]]*month", plan)
 

@@ -51,7 +51,7 @@ def _skewed(spark, n=900):
     for i in range(n):
         card = "hot" if i % 3 == 0 else f"c{rng.randrange(40)}"
         when = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(60 * 72))
-        rows.append((f"t{i:05d}", card, when.date(), when, when.hour, round(rng.choice([0, 0, rng.uniform(1, 900)]), 2)))
+        rows.append((f"t{i:05d}", card, when.date(), when, when.hour, round(rng.choice([0.0, 0.0, rng.uniform(1, 900)]), 2)))
     return spark.createDataFrame(rows, "transaction_id string, hpan string, transaction_date date, transaction_time timestamp, hour_num int, a double").withColumn(
         "amount_uzs", F.col("a").cast("decimal(18,2)")).drop("a")
 
