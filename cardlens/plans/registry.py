@@ -11,6 +11,14 @@ Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
 
+# Whole-number sums that the other engine widens beyond 64 bits; they are brought back to bigint.
+WIDE_SUMS = {
+    "card_extremes": ["failed_txn_count", "reversal_count"], "merchant_graph_features": ["txn_count_90d"],
+    "card_graph_features": ["txn_count_90d", "neighbor_fraud_txn_90d"], "roc_points": ["tp", "fp"], "ev_curve": ["tp", "fp"],
+    "ev_threshold": ["tp", "fp"], "profile_table": ["total", "nulls"], "data_patterns": ["n"], "iqr_anomalies": ["anomalies"],
+    "tfidf_vocabulary": ["total"],
+}
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     """Register a plan; its result is made engine-neutral so that two engines can be compared."""
@@ -20,7 +28,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
             raise ValueError(f"query {name} is registered twice")
         PLANS[name] = lambda spark, sf_dir: portable(plan(spark, sf_dir))
         if sql is not None:
-            SQL[name] = sql
+            narrow = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in WIDE_SUMS.get(name, []))
+            SQL[name] = f"SELECT * REPLACE ({narrow}) FROM ({sql})" if narrow else sql
         return plan
 
     return register
