@@ -65,10 +65,11 @@ def _(spark, d):
     return _rounded(fc.ensemble([fc.ma7_forecast(s, 14), fc.trend_weekday_forecast(s, 14)], [0.25, 0.75]), *BANDS, digits=2)
 
 
-def _metric_sql(k: str, forecast: str, test: str, train: str, extra: str = "") -> str:
-    return f"""SELECT {k}, {extra} count(*) AS n, round(avg(abs(y - yhat) / nullif(abs(y), 0)) * 100, 4) AS mape,
-  round(avg(abs(y - yhat) / nullif((abs(y) + abs(yhat)) / 2, 0)) * 100, 4) AS smape, round(avg(abs(y - yhat)), 4) AS mae, round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse,
-  CAST(count(*) FILTER (y BETWEEN yhat_lower AND yhat_upper) AS DOUBLE) / count(*) * 100 AS coverage, round(avg(abs(y - yhat)) / any_value(nv), 6) AS mase
+def _metric_sql(k: str, forecast: str, test: str, train: str, extra: str = "", rounded: bool = True) -> str:
+    r = (lambda e, n: f"round({e}, {n})") if rounded else (lambda e, n: e)
+    return f"""SELECT {k}, {extra} count(*) AS n, {r("avg(abs(y - yhat) / nullif(abs(y), 0)) * 100", 4)} AS mape,
+  {r("avg(abs(y - yhat) / nullif((abs(y) + abs(yhat)) / 2, 0)) * 100", 4)} AS smape, {r("avg(abs(y - yhat))", 4)} AS mae, {r("sqrt(avg((y - yhat) ** 2))", 4)} AS rmse,
+  CAST(count(*) FILTER (y BETWEEN yhat_lower AND yhat_upper) AS DOUBLE) / count(*) * 100 AS coverage, {r("avg(abs(y - yhat)) / any_value(nv)", 6)} AS mase
 FROM {test} JOIN {forecast} USING ({k}, ds) JOIN (SELECT {k}, avg(dd) AS nv FROM (SELECT {k}, abs(y - lag(y) OVER (PARTITION BY {k} ORDER BY ds)) AS dd FROM {train}) GROUP BY {k}) USING ({k}) GROUP BY {k}"""
 
 
@@ -99,25 +100,29 @@ def _(spark, d):
     return _rounded(j.align_on_date(back.where("back <= 14"), forecast).select("series_key", "ds", "y", "yhat"), "yhat")
 
 
-ROLLING = NUMBERED + """, fo AS (SELECT num.series_key, num.series_key || '-' || k AS fold, k AS split, ds, y, rn, len - k * 14 AS start, len - (k - 1) * 14 AS stop FROM num, range(1, 4) r(k) WHERE len - k * 14 >= 30),
+FOLDS = NUMBERED + """, fo AS (SELECT num.series_key, num.series_key || '-' || k AS fold, k AS split, ds, y, rn, len - k * 14 AS start, len - (k - 1) * 14 AS stop FROM num, range(1, 4) r(k) WHERE len - k * 14 >= 30),
 tr AS (SELECT fold, ds, y FROM fo WHERE rn <= start), te AS (SELECT fold, ds, y FROM fo WHERE rn > start AND rn <= stop),
 tb AS (SELECT fold, ds, y, row_number() OVER (PARTITION BY fold ORDER BY ds DESC) AS back, max(ds) OVER (PARTITION BY fold) AS last FROM tr),
 sn AS (SELECT fold, last + CAST(i AS INT) AS ds, y AS yhat, y * 0.8 AS yhat_lower, y * 1.2 AS yhat_upper FROM tb, range(1, 15) r(i) WHERE back <= 7 AND (i - 1) % 7 = 7 - back)
-""" + TREND.format(k="fold", source="tr", h=15) + ", ro AS (" + _metric_sql("fold", "sn", "te", "tr", "'seasonal_naive' AS model,") + " UNION ALL " + _metric_sql(
-    "fold", "tw", "te", "tr", "'trend_weekday' AS model,") + ")\n"
+""" + TREND.format(k="fold", source="tr", h=15)
+
+
+def _rolling_sql(rounded: bool) -> str:
+    both = [_metric_sql("fold", f, "te", "tr", f"'{name}' AS model,", rounded) for f, name in (("sn", "seasonal_naive"), ("tw", "trend_weekday"))]
+    return FOLDS + ", ro AS (" + " UNION ALL ".join(both) + ")\n"
 
 
 def _rolled(spark, d):
     return fc.rolling_origin(mcc_series(spark, d))
 
 
-@query("rolling_origin", ROLLING + "SELECT * FROM ro")
+@query("rolling_origin", _rolling_sql(True) + "SELECT * FROM ro")
 def _(spark, d):
     out = _rolled(spark, d).withColumn("fold", F.concat_ws("-", F.col("series_key").cast("string"), "split")).drop("series_key", "split")
     return _rounded(_rounded(out, *METRICS), "mase", digits=6)
 
 
-@query("backtest_summary", ROLLING + "SELECT model, " + ", ".join(
+@query("backtest_summary", _rolling_sql(False) + "SELECT model, " + ", ".join(
     f"round(avg({c}), 3) AS {c}_mean, round(stddev_samp({c}), 3) AS {c}_std" for c in ("mape", "smape", "mase", "mae", "rmse", "coverage")) + " FROM ro GROUP BY 1")
 def _(spark, d):
     out = fc.backtest_summary(_rolled(spark, d))
