@@ -43,3 +43,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardlens.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_secrets")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardlens.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardlens.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
