@@ -57,3 +57,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardlens.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardlens.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op6_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardlens.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
