@@ -77,3 +77,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardlens.llm.substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardlens.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
