@@ -84,3 +84,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardlens.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_vector_search", """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cardlens.llm.vector_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_licences")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardlens.llm.licenses import licences
+
+    return licences(table(spark, sf_dir, "documents"))
