@@ -87,8 +87,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op1_vector_search", """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
@@ -106,3 +106,42 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardlens.llm.licenses import licences
 
     return licences(table(spark, sf_dir, "documents"))
+
+
+@query("op8_lm_scoring", f"""
+WITH t AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS p FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)),
+b AS (SELECT doc_id, p, w, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS v FROM t),
+n AS (SELECT count(*) AS n FROM t),
+l AS (SELECT doc_id, count(*) AS l FROM t GROUP BY doc_id),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+ud AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w),
+g AS (SELECT v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY v, w),
+gd AS (SELECT doc_id, v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+s AS (SELECT b.doc_id, CASE
+        WHEN b.v IS NULL THEN ln(greatest(u.c - ud.c, 0.5) / greatest(n.n - l.l, 1))
+        WHEN g.c > gd.c THEN ln((g.c - gd.c) / (x.c - xd.c))
+        ELSE ln(0.4) + ln(greatest(u.c - ud.c, 0.5) / greatest(n.n - l.l, 1)) END AS s
+      FROM b CROSS JOIN n JOIN l USING (doc_id) JOIN u ON u.w = b.w JOIN ud ON ud.doc_id = b.doc_id AND ud.w = b.w
+      LEFT JOIN g ON g.v = b.v AND g.w = b.w LEFT JOIN gd ON gd.doc_id = b.doc_id AND gd.v = b.v AND gd.w = b.w
+      LEFT JOIN u x ON x.w = b.v LEFT JOIN ud xd ON xd.doc_id = b.doc_id AND xd.w = b.v)
+SELECT d.doc_id, coalesce(k, 0) AS n_words, coalesce(round(s, 3), 0.0) AS log_score, round(s / k, 6) AS mean_log_score
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS k, sum(s) AS s FROM s GROUP BY doc_id) USING (doc_id)""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cardlens.llm.lm_scoring import score
+
+    scored = score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
+
+
+# The tables hold plain messages only; linking of calls is tested on fixtures against a direct reading.
+@query("op5_tool_calls", """
+SELECT conv_id, turn AS at, CAST(-1 AS INTEGER) AS level, CAST(0 AS INTEGER) AS seq, CAST(0 AS INTEGER) AS part, turn, 'message' AS kind,
+  CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status,
+  '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS line
+FROM (SELECT conv_id, coalesce(turn, -1) AS turn, role, text FROM conversations)""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardlens.llm.tool_calls import link
+
+    return link(table(spark, sf_dir, "conversations"))
