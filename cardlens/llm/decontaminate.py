@@ -96,10 +96,12 @@ def judge(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS, share: int =
         grams = item_windows(items, item_col, text_col, n, lengths)
         hashes = grams.select("length", "hash").distinct()
         few = hashes.count() <= BROADCAST_WINDOWS
-        wanted = F.broadcast(hashes) if few else hashes
-        hits = (_windows(keyed, lengths, key).join(wanted, ["length", "hash"], "left_semi")
-                .select(*key, F.col("pos").cast("int").alias("start"), (F.col("pos") + F.col("length")).cast("int").alias("end"),
-                        "length", _gram().alias("gram")))
+        windows = _windows(keyed, lengths, key)
+        if few:  # windows are looked up where they arise; only hits get their words written out
+            hits = windows.join(F.broadcast(hashes), ["length", "hash"], "left_semi").withColumn("gram", _gram())
+        else:    # windows are shuffled, each with its own words and not with its document's
+            hits = windows.withColumn("gram", _gram()).drop("_w").join(hashes, ["length", "hash"], "left_semi")
+        hits = hits.select(*key, F.col("pos").cast("int").alias("start"), (F.col("pos") + F.col("length")).cast("int").alias("end"), "length", "gram")
         at = F.array_sort(F.collect_set(F.struct("start", "end")))
         per_gram = hits.groupBy(*key, "length", "gram").agg(at.alias("_at"))
         verified = per_gram.join(grams.select("length", "gram", F.col("_item").cast("string").alias("_item")), ["length", "gram"])
