@@ -6,20 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardlens.llm import decontaminate
-from cardlens.llm.queries import table
+from cardlens.llm import decontaminate, packing, quality, secrets, simhash
+from cardlens.llm.queries import table, tokenizer_path
 from cardlens.session import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; their columns and texts stay as they are."""
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by the benchmark go; what stays is not changed."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mask; all documents stay. ``n_chars`` still tells the original length."""
+    return secrets.mask_secrets(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("benchmark decontamination", decontaminated),
+    ("quality classifier", good_documents),
+    ("simhash near-dedup", distinct_documents),
+    ("benchmark decontamination", clean_documents),
+    ("secret scan", masked_documents),
+    ("packing", packed_sequences),
 ]
 
 #: The classifier and the packing of tokens have no form in SQL.
