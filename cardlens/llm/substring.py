@@ -134,15 +134,15 @@ def _later(windows: DataFrame) -> DataFrame:
     """(_id, _text, start) of windows that also start in a document with a smaller id.
 
     A window's rows are compared within salted groups first. Only the smallest documents of the groups of a common
-    anchor are compared once more.
+    anchor are compared once more. Rows are dealt by anchor, so neighbouring windows stay together and pack well; both
+    comparisons read the same shuffled rows.
     """
-    first = F.min(_order()).over(W.partitionBy("anchor", "salt", "hash"))
-    one = windows.withColumn("_first", first)
-    # The salted comparison: what is not the smallest of its group goes; the smallest of split groups meet again.
-    beaten = one.where(_order() != F.col("_first")).select("_id", "_text", "start")
+    dealt = windows.repartition("anchor", "salt")
+    one = dealt.withColumn("_first", F.min(_order()).over(W.partitionBy("anchor", "salt", "hash")))
+    beaten = one.where((_order() != F.col("_first")) & (F.col("salts") > 0)).select("_id", "_text", "start")
     heads = one.where((_order() == F.col("_first")) & (F.col("salts") > 1))
-    least = heads.groupBy("anchor", "hash").agg(F.min(_order()).alias("_least"))
-    again = heads.join(least, ["anchor", "hash"]).where(_order() != F.col("_least")).select("_id", "_text", "start")
+    again = heads.withColumn("_least", F.min(_order()).over(W.partitionBy("anchor", "hash"))).where(
+        _order() != F.col("_least")).select("_id", "_text", "start")
     return beaten.unionByName(again)
 
 
