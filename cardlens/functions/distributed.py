@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from cardlens.session import cut_lineage
 
-BINS_PER_E_FOLD = 256
-HOT_SHARE = 10_000          # a key is hot above 1/HOT_SHARE of all rows, hence at most HOT_SHARE hot keys
-HOT_MIN_ROWS = 1_000_000    # and never below this many rows
-SMALL_GROUP_ROWS = 100_000  # up to this many rows a group may be sorted in one piece
+BINS_PER_OCTAVE = 512
+SLICE_ROWS = 200_000  # rows of one key that a window orders at once
 
 
 def with_scalars(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
@@ -27,47 +25,32 @@ def with_scalars(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
     return df.withColumn(name, one_row.select(F.struct(*one_row.columns).alias("s")).scalar())
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join in which NULL keys meet.
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet; the key columns are the left side's.
 
     No not-null filters are inferred, so a frame that feeds both sides keeps one common plan and its shuffle is reused.
     """
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
     match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
-    return left.join(renamed, match).drop(*[f"_r_{c}" for c in on])
+    return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
 
 
 def value_bin(c: Column) -> Column:
-    """Order-preserving logarithmic bin; doubles span fewer than 400 000 bins, money some thousands."""
-    v = c.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * BINS_PER_E_FOLD)
-
+    """Order-preserving bin of equal relative width at any magnitude: zero is bin 0, the least double is in bin 1.
 
-def groups_are_small(df: DataFrame, keys: Sequence[str], limit: int = SMALL_GROUP_ROWS) -> bool:
-    """Whether no group has more rows than the limit: one counting job over the key columns, one number back."""
-    if not keys:
-        return False
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return (sizes.agg(F.max("_n")).first()[0] or 0) <= limit
+    A value range that doubles spans ``BINS_PER_OCTAVE`` bins, be it around a million or a millionth.
+    """
+    v = c.cast("double")
+    octaves = F.floor((F.log2(F.abs(v)) + 1075) * BINS_PER_OCTAVE) + 1
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * octaves)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], small: bool = False) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated percentiles per group: (keys, prob, value).
 
-    Values are counted first; bin totals locate the wanted ranks; only the bins that hold one are then ordered. With
-    ``small`` (see ``groups_are_small``) each group is sorted in one piece.
+    Values are counted first; bin totals locate the wanted ranks; only the bins that hold one are then ordered.
     """
     keys = list(keys)
-    if small:
-        group = W.partitionBy(*keys)
-        ranked = df.where(F.col(value).isNotNull()).select(
-            *keys, F.col(value).cast("double").alias("_v"), F.count("*").over(group).alias("_total"),
-            (F.row_number().over(group.orderBy(F.col(value).cast("double"))) - 1).alias("_r"))
-        near = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
-            "_pos", F.col("prob") * (F.col("_total") - 1)).where(F.abs(F.col("_r") - F.col("_pos")) < 1)
-        ends = near.groupBy(*keys, "prob", "_pos").agg(F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
-        step = (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo"))
-        return ends.select(*keys, "prob", (F.col("_vlo") + step).alias("value"))
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
@@ -100,9 +83,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
         (F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
-def wide_percentiles(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float], small: bool = False) -> DataFrame:
+def wide_percentiles(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float]) -> DataFrame:
     """Percentiles as one named column each."""
-    long = percentiles(df, keys, value, list(names.values()), small)
+    long = percentiles(df, keys, value, list(names.values()))
     picks = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in names.items()]
     return long.groupBy(*keys).agg(*picks)
 
@@ -173,44 +156,33 @@ def heaviest_value(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     return value_counts(df, keys, value).groupBy(*keys).agg(best["v"].alias(name), (-best["m"]).alias(f"{name}_count"))
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> list:
-    """Keys above 1/HOT_SHARE of the rows: one counting job whose result has at most HOT_SHARE rows."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*")).scalar()
-    heavy = counts.where((F.col("_n") >= min_rows) & (F.col("_n") * HOT_SHARE > total))
-    return [row[0] for row in heavy.select(key).limit(HOT_SHARE).collect()]
-
-
 def time_slices(df: DataFrame, key: str, stamp: str, order: Sequence[str], look_back: int,
-                min_rows: int = HOT_MIN_ROWS) -> tuple[DataFrame, list[str]]:
-    """Make row windows over a key safe for hot keys: (frame, partition columns).
+                slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, list[str]]:
+    """Cut the rows of each key into slices of whole hours with about ``slice_rows`` rows: (frame, partition columns).
 
-    Without hot keys the frame is unchanged. Otherwise rows of hot keys are cut into hours, and each hour also gets
-    copies (``_copy``) of the ``look_back`` rows before it, so any window of that many preceding rows is exact.
-    Drop copies with ``own_rows`` after the window.
+    Most keys have one slice. A later slice also gets copies (``_copy``) of the ``look_back`` rows before it, so any
+    window of that many preceding rows is exact for every key alike. Rows without time come first, in one hour of their
+    own; a NULL key is a key. Drop the copies with ``own_rows`` after the window.
     """
-    hot = hot_keys(df, key, min_rows)
-    if not hot:
-        return df, [key]
-    marks = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in hot], f"{key} {dict(df.dtypes)[key]}")
-                        .withColumn("_hot", F.lit(True)))
-    marked = df.join(marks, key, "left").withColumn("_slice", F.when(F.col("_hot"), F.date_trunc("hour", stamp)))
-    marked = marked.drop("_hot").withColumn("_copy", F.lit(False))
-    columns = [c for c in df.columns]
-    tail_order = [F.col(c).desc() for c in order]
+    columns = list(df.columns)
+    hourly = df.withColumn("_hour", F.date_trunc("hour", stamp))
+    before = F.sum("_n").over(W.partitionBy(key).orderBy("_hour").rowsBetween(W.unboundedPreceding, -1))
+    slices = hourly.groupBy(key, "_hour").agg(F.count("*").alias("_n")).select(
+        key, "_hour", F.floor(F.coalesce(before, F.lit(0)) / slice_rows).alias("_slice"))
+    slices = slices.withColumn("_split", F.max("_slice").over(W.partitionBy(key)) > 0)
+    marked = join_null_safe(hourly, slices, [key, "_hour"])
     row = F.struct(*order, *[c for c in columns if c not in order])
     tails = (
-        top_per_key(marked.where(F.col("_slice").isNotNull()), [key, "_slice"], tail_order, look_back, "_r")
+        top_per_key(marked.where("_split"), [key, "_slice"], [F.col(c).desc() for c in order], look_back, "_r")
         .groupBy(key, "_slice").agg(F.collect_list(row).alias("_tail"))
     )
     earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(-look_back, -1)
-    carried = tails.select(
-        F.col("_slice"),
-        F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("_tail").over(earlier)))), 1, look_back).alias("_rows"))
+    carried = tails.select("_slice", F.slice(F.reverse(F.array_sort(
+        F.flatten(F.collect_list("_tail").over(earlier)))), 1, look_back).alias("_rows"))
     copies = carried.select("_slice", F.explode("_rows").alias("_row")).select(
         *[F.col(f"_row.{c}").alias(c) for c in columns], "_slice", F.lit(True).alias("_copy"))
-    return marked.select(*columns, "_slice", "_copy").unionByName(copies), [key, "_slice"]
+    return marked.select(*columns, "_slice", F.lit(False).alias("_copy")).unionByName(copies), [key, "_slice"]
 
 
 def own_rows(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("_copy")).drop("_copy", "_slice") if "_copy" in df.columns else df
+    return df.where(~F.col("_copy")).drop("_copy", "_slice")

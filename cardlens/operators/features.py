@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import HOT_MIN_ROWS, heaviest_value
+from cardlens.functions.distributed import SLICE_ROWS, heaviest_value, join_null_safe
 from cardlens.functions.scalars import (calendar_flags, is_missing, is_night, is_weekend, mean_of, merchant_key, newest_day,
                                         ratio, sum_if)
 from cardlens.operators.joins import (CARD_FEATURES, CARD_GRAPH, MERCHANT_GRAPH, attach_graph_features, join_card_features,
@@ -72,7 +72,7 @@ def card_extremes(df: DataFrame, accepted: Sequence[str] = ("", "0", "00"), home
         F.sum("failed").alias("failed_txn_count"), F.sum("reversed").alias("reversal_count"),
         F.sum("foreign").alias("international_txn_count"), F.sum("n").alias("_n"))
     main = heaviest_value(df, ["hpan"], "merchant_name", "top_merchant")
-    return cards.join(main, "hpan", "left").withColumn(
+    return join_null_safe(cards, main, ["hpan"], "left").withColumn(
         "top_merchant_ratio", ratio(F.col("top_merchant_count"), F.col("_n"))).drop("_n", "top_merchant_count")
 
 
@@ -129,9 +129,9 @@ def _finish(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFra
 
 
 def fraud_features(txn: DataFrame, cards: DataFrame | None = None, card_graph: DataFrame | None = None,
-                   merchant_graph: DataFrame | None = None, min_hot_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                   merchant_graph: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The model's 27 numeric columns with id, day and label; whatever is missing is 0."""
-    df = calendar_flags(sequence_features(txn, min_hot_rows=min_hot_rows), RISKY_MCC, CAPITAL_REGION)
+    df = calendar_flags(sequence_features(txn, slice_rows=slice_rows), RISKY_MCC, CAPITAL_REGION)
     if cards is not None:
         df = join_card_features(df, cards)
     if card_graph is not None and merchant_graph is not None:
@@ -139,7 +139,7 @@ def fraud_features(txn: DataFrame, cards: DataFrame | None = None, card_graph: D
     return _finish(df, ALL_FEATURES, ["transaction_id", "hpan", "transaction_date", "fraud_proxy"])
 
 
-def fraud_features_basic(txn: DataFrame, min_hot_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def fraud_features_basic(txn: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The 12-column vector of the model comparison."""
-    df = calendar_flags(sequence_features(txn, min_hot_rows=min_hot_rows), RISKY_MCC, CAPITAL_REGION)
+    df = calendar_flags(sequence_features(txn, slice_rows=slice_rows), RISKY_MCC, CAPITAL_REGION)
     return _finish(df, BASIC_FEATURES, ["transaction_id", "hpan", "transaction_date", "fraud_proxy"])

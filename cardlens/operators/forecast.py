@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cardlens.functions.distributed import top_per_key
+from cardlens.functions.distributed import join_null_safe, top_per_key
 from cardlens.functions.scalars import percent, ratio
 from cardlens.operators.joins import align_on_date
 from cardlens.operators.stats import iqr_anomalies
@@ -31,7 +31,7 @@ def fill_calendar(series: DataFrame, keys: Sequence[str] = KEYS, end: Column | N
     span = series.groupBy(*keys).agg(F.min("ds").alias("_a"), F.max("ds").alias("_b"))
     last = F.col("_b") if end is None else end
     days = span.select(*keys, F.explode(F.sequence("_a", last)).alias("ds"))
-    return days.join(series, [*keys, "ds"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    return join_null_safe(days, series, [*keys, "ds"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
 
 
 def _last_rows(series: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -60,7 +60,7 @@ def seasonal_naive(series: DataFrame, horizon: int = 14, season: int = 7, keys:
         F.count("*").alias("_n"), F.avg("y").alias("_mean"),
         F.transform(F.array_sort(F.collect_list(F.struct("ds", "y"))), lambda s: s["y"]).alias("_season"))
     ends = series.groupBy(*keys).agg(F.max("ds").alias("_last"))
-    steps = _steps(pattern.join(ends, list(keys)), horizon)
+    steps = _steps(join_null_safe(pattern, ends, keys), horizon)
     repeated = F.when(F.col("_n") < season, F.col("_mean")).otherwise(
         F.try_element_at("_season", F.pmod(F.col("step") - 1, F.lit(season)).cast("int") + 1))
     return _band(steps.withColumn("yhat", repeated), keys, 0.8, 1.2)
@@ -70,17 +70,17 @@ def trend_weekday_forecast(series: DataFrame, horizon: int = 30, keys: Sequence[
     """Linear trend times a weekday index with a 95 % band from the residuals; three small aggregates per series."""
     keys = list(keys)
     first = series.groupBy(*keys).agg(F.min("ds").alias("_first"), F.max("ds").alias("_last"))
-    timed = series.join(first, keys).withColumn("_t", F.datediff("ds", "_first").cast("double"))
+    timed = join_null_safe(series, first, keys).withColumn("_t", F.datediff("ds", "_first").cast("double"))
     line = timed.groupBy(*keys).agg(F.coalesce(F.regr_slope("y", "_t"), F.lit(0.0)).alias("_slope"),
                                     F.coalesce(F.regr_intercept("y", "_t"), F.avg("y")).alias("_base"))
     trend = F.col("_base") + F.col("_slope") * F.col("_t")
-    fitted = timed.join(line, keys).withColumn("_trend", trend)
+    fitted = join_null_safe(timed, line, keys).withColumn("_trend", trend)
     index = fitted.groupBy(*keys, F.weekday("ds").alias("_dow")).agg(F.coalesce(F.avg(F.try_divide("y", "_trend")), F.lit(1.0)).alias("_index"))
-    resid = fitted.withColumn("_dow", F.weekday("ds")).join(index, [*keys, "_dow"]).groupBy(*keys).agg(
+    resid = join_null_safe(fitted.withColumn("_dow", F.weekday("ds")), index, [*keys, "_dow"]).groupBy(*keys).agg(
         F.coalesce(F.stddev_samp(F.col("y") - F.col("_trend") * F.col("_index")), F.lit(0.0)).alias("_sd"))
-    future = _steps(first.join(line, keys).join(resid, keys), horizon).withColumns(
+    future = _steps(join_null_safe(join_null_safe(first, line, keys), resid, keys), horizon).withColumns(
         {"_t": F.datediff("ds", "_first").cast("double"), "_dow": F.weekday("ds")})
-    return future.join(index, [*keys, "_dow"], "left").withColumn("yhat", trend * F.coalesce("_index", F.lit(1.0))).select(
+    return join_null_safe(future, index, [*keys, "_dow"], "left").withColumn("yhat", trend * F.coalesce("_index", F.lit(1.0))).select(
         *keys, "ds", "yhat", (F.col("yhat") - BAND * F.col("_sd")).alias("yhat_lower"), (F.col("yhat") + BAND * F.col("_sd")).alias("yhat_upper"))
 
 
@@ -105,7 +105,7 @@ def forecast_metrics(forecast: DataFrame, holdout: DataFrame, train: DataFrame,
         F.sqrt(F.avg(gap * gap)).alias("rmse"), percent(F.count_if(inside), F.count("*")).alias("coverage"))
     step = F.abs(F.col("y") - F.lag("y").over(W.partitionBy(*keys).orderBy("ds")))
     naive = train.where(F.col("y").isNotNull()).withColumn("_d", step).groupBy(*keys).agg(F.avg("_d").alias("_naive"))
-    return errors.join(naive, keys, "left").withColumn("mase", F.try_divide("mae", "_naive")).drop("_naive")
+    return join_null_safe(errors, naive, keys, "left").withColumn("mase", F.try_divide("mae", "_naive")).drop("_naive")
 
 
 def rolling_origin(series: DataFrame, n_splits: int = 3, test_size: int = 14, min_train: int = 30, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -132,7 +132,7 @@ def decompose(series: DataFrame, period: int = 7, keys: Sequence[str] = KEYS) ->
     keys = list(keys)
     trended = centered_mean(series, period, keys).withColumns({"_off": F.col("residual"), "_dow": F.weekday("ds")}).drop("residual")
     season = trended.groupBy(*keys, "_dow").agg(F.avg("_off").alias("seasonal"))
-    return trended.join(season, [*keys, "_dow"]).select(*keys, "ds", "y", "trend", "seasonal", (F.col("_off") - F.col("seasonal")).alias("residual"))
+    return join_null_safe(trended, season, [*keys, "_dow"]).select(*keys, "ds", "y", "trend", "seasonal", (F.col("_off") - F.col("seasonal")).alias("residual"))
 
 
 def strengths(parts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -183,18 +183,23 @@ def diagnose_series(series: DataFrame, keys: Sequence[str] = KEYS, k: float = 3.
     base = series.groupBy(*keys).agg(F.count("*").alias("length"), F.count_if(F.col("y").isNull()).alias("missing"), F.avg("y").alias("mean"),
                                      F.stddev_samp("y").alias("std"), F.try_divide(F.stddev_samp("y"), F.avg("y")).alias("cv"))
     odd = iqr_anomalies(series, k, keys).select(*keys, "anomaly_rate", "anomaly_dates")
-    return base.join(strengths(decompose(series, keys=keys), keys), list(keys), "left").join(odd, list(keys), "left")
+    return join_null_safe(join_null_safe(base, strengths(decompose(series, keys=keys), keys), keys, "left"), odd, keys, "left")
 
 
 # ---- hierarchy -------------------------------------------------------------------------------------------------
 
 def select_series(daily: DataFrame, coverage: float = 0.9, max_merchants: int = 50, max_mcc: int = 20) -> DataFrame:
-    """Leaves (mcc, merchant_key, ds, y): the largest codes, in each the merchants within coverage, and the rest as one."""
-    top = daily.groupBy("mcc").agg(F.sum("y").alias("_v")).orderBy(F.col("_v").desc(), "mcc").limit(max_mcc).select("mcc")
-    kept = daily.join(F.broadcast(top), "mcc")
-    totals = kept.groupBy("mcc", "merchant_key").agg(F.sum("y").alias("v"))
+    """Leaves (mcc, merchant_key, ds, y): the largest codes, in each the merchants within coverage, and the rest as one.
+
+    All other codes together are one code of their own, so the leaves sum up to the whole history. Codes become text; a
+    missing one is the empty text.
+    """
+    daily = daily.withColumn("mcc", F.coalesce(F.col("mcc").cast("string"), F.lit("")))
+    top = daily.groupBy("mcc").agg(F.sum("y").alias("_v")).orderBy(F.col("_v").desc(), "mcc").limit(max_mcc).select("mcc", F.lit(True).alias("_top"))
+    kept = daily.join(F.broadcast(top), "mcc", "left").withColumn("mcc", F.when(F.col("_top"), F.col("mcc")).otherwise(OTHER))
+    totals = kept.where("_top").groupBy("mcc", "merchant_key").agg(F.sum("y").alias("v"))
     chosen = cumulative_share(totals, "mcc", "merchant_key", "v", coverage, max_merchants).select("mcc", "merchant_key", F.lit(True).alias("_own"))
-    marked = kept.join(chosen, ["mcc", "merchant_key"], "left")
+    marked = join_null_safe(kept, chosen, ["mcc", "merchant_key"], "left")
     selected = marked.where(F.col("_own")).select("mcc", "merchant_key", "ds", "y")
     rest = marked.groupBy("mcc", "ds").agg(F.coalesce(F.sum(F.when(F.col("_own").isNull(), F.col("y"))), F.lit(0.0)).alias("y")).select(
         "mcc", F.lit(OTHER).alias("merchant_key"), "ds", F.greatest("y", F.lit(0.0)).alias("y"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import groups_are_small, heaviest_value, percentiles, top_values, wide_percentiles, with_scalars
+from cardlens.functions.distributed import heaviest_value, join_null_safe, percentiles, top_values, wide_percentiles, with_scalars
 from cardlens.functions.scalars import (anchored_filter, day, filter_transactions, hour_expr, is_missing, mean_of,
                                         percent, ratio, sum_if, truncate_time)
 
@@ -22,11 +22,11 @@ def _distinct(name: str, approx: bool) -> Column:
 
 
 def _grouped_with_median(df: DataFrame, keys: Sequence[str], amount: str, median: str, approx: bool, aggregates: Sequence[Column]) -> DataFrame:
-    """Aggregates and the median of each group: the sketch when ``approx``, else exact by the way the group sizes allow."""
+    """Aggregates and the median of each group, a sketch when ``approx``, else exact."""
     if approx:
         return df.groupBy(*keys).agg(*aggregates, F.percentile_approx(F.col(amount).cast("double"), 0.5).alias(median))
-    medians = wide_percentiles(df, keys, amount, {median: 0.5}, small=groups_are_small(df, keys))
-    return df.groupBy(*keys).agg(*aggregates).join(medians, list(keys), "left")
+    medians = wide_percentiles(df, keys, amount, {median: 0.5})
+    return join_null_safe(df.groupBy(*keys).agg(*aggregates), medians, keys, "left")
 
 
 def daily_metrics(df: DataFrame, company: str | None = None, date_from=None, date_to=None,
@@ -47,7 +47,7 @@ def daily_metrics(df: DataFrame, company: str | None = None, date_from=None, dat
         F.min("amount").alias("min_transaction"),
     ])
     return (
-        base.join(top_values(df, keys, "mcc_code", 5, "top_mcc_codes"), keys, "left")
+        join_null_safe(base, top_values(df, keys, "mcc_code", 5, "top_mcc_codes"), keys, "left")
         .orderBy(F.col("transaction_date").desc(), "company_id")
     )
 
@@ -113,7 +113,7 @@ def company_comparison(df: DataFrame, days: int = 30, as_of=None, approx: bool =
         percent(F.count_if(_fraud()), F.count("*")).alias("fraud_rate"),
         F.max("amount").alias("max_transaction")])
     top = heaviest_value(df, ["company_id"], "mcc_code", "top_mcc").drop("top_mcc_count")
-    return base.join(top, "company_id", "left").orderBy(F.col("total_volume").desc(), "company_id")
+    return join_null_safe(base, top, ["company_id"], "left").orderBy(F.col("total_volume").desc(), "company_id")
 
 
 def company_radar(comparison: DataFrame) -> DataFrame:
@@ -135,9 +135,10 @@ def merchant_analysis(df: DataFrame, top_n: int = 20, company: str | None = None
         mean_of("amount").alias("avg_amount"), F.countDistinct("card_masked").alias("unique_customers"),
         F.countDistinct("transaction_date").alias("active_days"), F.count_if(_fraud()).alias("fraud_count"),
     ).orderBy(F.col("total_volume").desc(), "merchant_id").limit(top_n)
-    code = heaviest_value(df, keys, "mcc_code", "mcc_code_top").select(*keys, F.col("mcc_code_top").alias("mcc_code"))
-    kind = heaviest_value(df, keys, "mcc_description", "category").drop("category_count")
-    return best.join(code, keys, "left").join(kind, keys, "left").orderBy(F.col("total_volume").desc(), "merchant_id")
+    theirs = join_null_safe(df, best.select(*keys), keys)
+    code = heaviest_value(theirs, keys, "mcc_code", "mcc_code_top").select(*keys, F.col("mcc_code_top").alias("mcc_code"))
+    kind = heaviest_value(theirs, keys, "mcc_description", "category").drop("category_count")
+    return join_null_safe(join_null_safe(best, code, keys, "left"), kind, keys, "left").orderBy(F.col("total_volume").desc(), "merchant_id")
 
 
 def cohort_analysis(df: DataFrame, field: str = "card_masked", metric: str = "amount") -> DataFrame:
@@ -297,7 +298,8 @@ def top_n_plus_other(df: DataFrame, dim: str = "mcc", n: int = 9, other: str = "
     """The n largest groups by volume and one row for all others; all groups stay in the sums."""
     groups = df.groupBy(F.col(dim).cast("string").alias(dim)).agg(F.sum("amount_uzs").alias("volume"))
     best = groups.orderBy(F.col("volume").desc(), dim).limit(n)
-    rest = groups.join(best.select(dim), dim, "left_anti").groupBy(F.lit(other).alias(dim)).agg(F.sum("volume").alias("volume"))
+    named = best.select(F.col(dim).alias("_named"))
+    rest = groups.join(named, F.col(dim).eqNullSafe(F.col("_named")), "left_anti").groupBy(F.lit(other).alias(dim)).agg(F.sum("volume").alias("volume"))
     return share_of_total(best.unionByName(rest), "volume").orderBy(F.col("volume").desc(), dim)
 
 

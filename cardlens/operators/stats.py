@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import percentiles, wide_percentiles, with_scalars
+from cardlens.functions.distributed import join_null_safe, percentiles, wide_percentiles, with_scalars
 from cardlens.functions.scalars import is_missing, log_amount, newest_day, percent, ratio
 from cardlens.operators.windows import running_count, velocity_count
 
@@ -35,10 +35,11 @@ def velocity_anomalies(df: DataFrame, threshold: int = 10, mode: str = "hour", s
         *ANOMALY_COLUMNS, F.lit("velocity_anomaly").alias("anomaly_type"), F.col("_n").cast("double").alias("z_score"))
 
 
-def detect_anomalies(df: DataFrame, sensitivity: float = 3.0, threshold: int = 10, as_of=None, n: int = 100) -> DataFrame:
-    """Both kinds, strongest first: a top-n report."""
+def detect_anomalies(df: DataFrame, sensitivity: float = 3.0, threshold: int = 10, as_of=None, n: int | None = None) -> DataFrame:
+    """Both kinds, strongest first; ``n`` asks for a top-n report."""
     both = zscore_anomalies(df, sensitivity, as_of=as_of).unionByName(velocity_anomalies(df, threshold, as_of=as_of))
-    return both.orderBy(F.col("z_score").desc(), "transaction_id", "anomaly_type").limit(n)
+    ranked = both.orderBy(F.col("z_score").desc(), "transaction_id", "anomaly_type")
+    return ranked if n is None else ranked.limit(n)
 
 
 def iqr_flags(series: DataFrame, k: float = 3.0, keys: Sequence[str] = ("series_key",)) -> DataFrame:
@@ -46,7 +47,7 @@ def iqr_flags(series: DataFrame, k: float = 3.0, keys: Sequence[str] = ("series_
     quart = series.groupBy(*keys).agg(F.percentile("y", 0.25).alias("q1"), F.percentile("y", 0.75).alias("q3"))
     fences = quart.select(*keys, (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("low"),
                           (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("high"))
-    return series.join(fences, list(keys)).withColumn("is_anomaly", ((F.col("y") < F.col("low")) | (F.col("y") > F.col("high"))).cast("int"))
+    return join_null_safe(series, fences, keys).withColumn("is_anomaly", ((F.col("y") < F.col("low")) | (F.col("y") > F.col("high"))).cast("int"))
 
 
 def iqr_anomalies(series: DataFrame, k: float = 3.0, keys: Sequence[str] = ("series_key",)) -> DataFrame:

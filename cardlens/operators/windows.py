@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import (HOT_MIN_ROWS, global_rank, heaviest_value, own_rows, percentiles, time_slices,
-                                            top_per_key, with_scalars)
+from cardlens.functions.distributed import (SLICE_ROWS, global_rank, heaviest_value, join_null_safe, own_rows, percentiles,
+                                            time_slices, top_per_key, with_scalars)
 from cardlens.functions.scalars import percent, ratio
 
 
@@ -29,7 +29,7 @@ def running_count(df: DataFrame, card: str = "card_masked", day: str = "transact
     per_time = df.groupBy(card, day, stamp).agg(F.count("*").alias("_n"))
     so_far = W.partitionBy(card, day).orderBy(stamp).rowsBetween(W.unboundedPreceding, 0)
     counts = per_time.select(card, day, stamp, F.sum("_n").over(so_far).alias(name))
-    return df.join(counts, [card, day, stamp])
+    return join_null_safe(df, counts, [card, day, stamp])
 
 
 def velocity_count(df: DataFrame, card: str = "card_masked", stamp: str = "transaction_time", seconds: int = 3600,
@@ -37,9 +37,9 @@ def velocity_count(df: DataFrame, card: str = "card_masked", stamp: str = "trans
     """Transactions of the card in the trailing span, both ends included.
 
     Counts per second are put into slices of the span's length and copied into the following slice, so each window
-    holds at most two spans of seconds whatever the card.
+    holds at most two spans of seconds whatever the card. Rows without time have no count.
     """
-    per_second = df.groupBy(card, _seconds(stamp).alias("_s")).agg(F.count("*").alias("_n"))
+    per_second = df.where(F.col(stamp).isNotNull()).groupBy(card, _seconds(stamp).alias("_s")).agg(F.count("*").alias("_n"))
     own = F.floor(F.col("_s") / seconds)
     sliced = per_second.withColumn("_own", own).withColumn("_slice", F.explode(F.array("_own", F.col("_own") + 1)))
     trailing = W.partitionBy(card, "_slice").orderBy("_s").rangeBetween(-seconds, 0)
@@ -47,12 +47,12 @@ def velocity_count(df: DataFrame, card: str = "card_masked", stamp: str = "trans
         sliced.withColumn(name, F.sum("_n").over(trailing)).where(F.col("_slice") == F.col("_own"))
         .select(card, "_s", name)
     )
-    return df.withColumn("_s", _seconds(stamp)).join(counts, [card, "_s"]).drop("_s")
+    return join_null_safe(df.withColumn("_s", _seconds(stamp)), counts, [card, "_s"], "left").drop("_s")
 
 
 def cohort_first_date(df: DataFrame, key: str = "card_masked", date_col: str = "transaction_date") -> DataFrame:
     """First day of each member on every row: a combinable aggregate joined back, not a whole-partition window."""
-    return df.join(df.groupBy(key).agg(F.min(date_col).alias("first_date")), key)
+    return join_null_safe(df, df.groupBy(key).agg(F.min(date_col).alias("first_date")), [key])
 
 
 def top_mcc_per_card(df: DataFrame, card: str = "hpan") -> DataFrame:
@@ -60,18 +60,19 @@ def top_mcc_per_card(df: DataFrame, card: str = "hpan") -> DataFrame:
     valid = df.where(F.col("mcc") > 0)
     top = heaviest_value(valid, [card], "mcc", "top_mcc").withColumnRenamed("top_mcc_count", "mcc_count")
     totals = valid.groupBy(card).agg(F.count("*").alias("_all"))
-    return top.join(totals, card).select(card, "top_mcc", "mcc_count",
+    return join_null_safe(top, totals, [card]).select(card, "top_mcc", "mcc_count",
                                          ratio(F.col("mcc_count"), F.col("_all")).alias("top_mcc_ratio"))
 
 
 def sequence_features(df: DataFrame, card: str = "hpan", stamp: str = "transaction_time",
-                      tie: str = "transaction_id", min_hot_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Previous-row gap and ratio, mean of the last ten rows and ordinal in the hour, from one sort per card."""
-    sliced, parts = time_slices(df, card, stamp, [stamp, tie], 9, min_hot_rows)
+                      tie: str = "transaction_id", slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Previous-row gap and ratio and mean of the last ten rows, from slices of a card's time, and the ordinal in the hour,
+    which is counted before on (card, day, hour). Rows without time come before all others of their card."""
+    in_hour = W.partitionBy(card, "transaction_date", "hour_num").orderBy(stamp, tie)
+    counted = df.withColumn("txn_hour_count", F.row_number().over(in_hour))
+    sliced, parts = time_slices(counted, card, stamp, [stamp, tie], 9, slice_rows)
     by_time = W.partitionBy(*parts).orderBy(stamp, tie)
     last_ten = by_time.rowsBetween(-9, 0)
-    copies = ["_copy"] if "_copy" in sliced.columns else []
-    in_hour = W.partitionBy(*parts, *copies, "transaction_date", "hour_num").orderBy(stamp, tie)
     amount = F.col("amount_uzs").cast("double")
     previous = F.lag("amount_uzs").over(by_time)
     nonzero = lambda c: F.when(c == 0, 1.0).otherwise(c)
@@ -81,7 +82,6 @@ def sequence_features(df: DataFrame, card: str = "hpan", stamp: str = "transacti
             "_days": F.datediff("transaction_date", F.lag("transaction_date").over(by_time)),
             "prev_amount": previous,
             "card_avg_amount": mean_ten,
-            "txn_hour_count": F.row_number().over(in_hour),
         })
     ).withColumns({
         "days_since_prev_txn": F.coalesce(F.col("_days"), F.lit(999)),
@@ -126,7 +126,8 @@ def cumulative_share(df: DataFrame, group: str, item: str, volume: str, coverage
     totals = df.groupBy(group).agg(F.sum(volume).alias("_all"))
     best = top_per_key(df, [group], [F.col(volume).desc(), F.col(item)], most, "rank")
     so_far = W.partitionBy(group).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    shared = best.withColumn("_cum", F.sum(volume).over(so_far)).join(totals, group)
+    shared = best.withColumn("_cum", F.sum(volume).over(so_far))
+    shared = join_null_safe(shared, totals, [group])
     shared = shared.withColumn("cum_share", ratio(F.col("_cum"), F.col("_all")))
     return shared.where((F.col("cum_share") <= coverage) | (F.col("rank") == 1)).drop("_cum", "_all")
 

@@ -180,8 +180,8 @@ def _(spark, d):
 
 
 LEAVES = TXN + """, da AS (SELECT transaction_date AS ds, mcc, merchant_id AS merchant_key, CAST(sum(amount) AS DOUBLE) AS y FROM txn GROUP BY ALL),
-tp AS (SELECT mcc FROM da GROUP BY mcc ORDER BY sum(y) DESC, mcc LIMIT 5), kp AS (SELECT * FROM da WHERE mcc IN (SELECT mcc FROM tp)),
-tt AS (SELECT mcc, merchant_key, sum(y) AS v, row_number() OVER (PARTITION BY mcc ORDER BY sum(y) DESC, merchant_key) AS r FROM kp GROUP BY mcc, merchant_key),
+tp AS (SELECT mcc FROM da GROUP BY mcc ORDER BY sum(y) DESC, mcc LIMIT 5), kp AS (SELECT ds, CASE WHEN mcc IN (SELECT mcc FROM tp) THEN CAST(mcc AS VARCHAR) ELSE '__OTHER__' END AS mcc, merchant_key, y FROM da),
+tt AS (SELECT mcc, merchant_key, sum(y) AS v, row_number() OVER (PARTITION BY mcc ORDER BY sum(y) DESC, merchant_key) AS r FROM kp WHERE mcc <> '__OTHER__' GROUP BY mcc, merchant_key),
 cs AS (SELECT *, sum(v) OVER (PARTITION BY mcc ORDER BY r) / sum(v) OVER (PARTITION BY mcc) AS sh FROM tt),
 ch AS (SELECT mcc, merchant_key FROM cs WHERE (sh <= 0.3 OR r = 1) AND r <= 12),
 se AS (SELECT kp.mcc, kp.merchant_key, ds, y FROM kp JOIN ch USING (mcc, merchant_key)),

@@ -179,8 +179,7 @@ r3 AS (SELECT * REPLACE ('8600' || lpad(CAST({NUM.format("(hpan || 'x')")} AS VA
 lim AS (SELECT *, greatest(least(CAST(amount_uzs AS DOUBLE), 1000000000), 100) AS la FROM r3),
 fen AS (SELECT quantile_cont(la, 0.25) AS q1, quantile_cont(la, 0.75) AS q3 FROM lim WHERE amount_uzs IS NOT NULL),
 r4 AS (SELECT lim.* EXCLUDE (la) REPLACE (CASE WHEN amount_uzs IS NOT NULL THEN greatest(least(la, q3 + 3 * (q3 - q1)), q1 - 3 * (q3 - q1)) END AS amount_uzs) FROM lim, fen),
-r5 AS (SELECT * FROM r4 QUALIFY row_number() OVER (PARTITION BY transaction_code ORDER BY transaction_date, transaction_id) = 1),
-r6 AS (SELECT * FROM r5 QUALIFY row_number() OVER (PARTITION BY hpan ORDER BY transaction_date, transaction_id) <= 10)
+r5 AS (SELECT * FROM r4 QUALIFY row_number() OVER (PARTITION BY transaction_code ORDER BY transaction_date, transaction_id) = 1)
 """
 
 
@@ -211,17 +210,17 @@ def _(spark, d):
     return q.clip_outliers(df.withColumn("amount_uzs", spread)).withColumn("amount_uzs", F.round("amount_uzs", 4))
 
 
-@query("improve", REPAIRED + "SELECT transaction_id, hpan, round(amount_uzs, 4) AS amount_uzs, respcode, hour_num, sender_hpan FROM r6")
+@query("improve", REPAIRED + "SELECT transaction_id, hpan, round(amount_uzs, 4) AS amount_uzs, respcode, hour_num, sender_hpan FROM r5")
 def _(spark, d):
-    return q.improve(typed(spark, d, *REPAIR_NAMES), per_card=10).select(
+    return q.improve(typed(spark, d, *REPAIR_NAMES)).select(
         "transaction_id", "hpan", F.round("amount_uzs", 4).alias("amount_uzs"), "respcode", "hour_num", "sender_hpan")
 
 
-@query("improvement_scores", REPAIRED + ", " + _strict("b", "typed") + ", " + _strict("c", "r6")
+@query("improvement_scores", REPAIRED + ", " + _strict("b", "typed") + ", " + _strict("c", "r5")
        + f"SELECT 'before' AS stage, {STRICT_OUT} FROM b UNION ALL SELECT 'after', {STRICT_OUT} FROM c")
 def _(spark, d):
     before = typed(spark, d, *REPAIR_NAMES)
-    return q.improvement_scores(before, q.improve(before, per_card=10))
+    return q.improvement_scores(before, q.improve(before))
 
 
 @query("field_diagnosis", DIRTY + _per_column(

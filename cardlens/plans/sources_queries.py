@@ -20,7 +20,7 @@ def _by_mcc(df):
 def _(spark, d):
     path = writers.scratch(spark, "typed")
     writers.export_csv(transactions(spark, d, "transaction_id", "mcc", "amount"), path)
-    return _by_mcc(readers.read_csv_inferred(spark, path, 0.1))
+    return _by_mcc(readers.read_csv_inferred(spark, path))
 
 
 RAW = ["transaction_id", "merchant_name", "mcc", "amount_uzs", "respcode", "gender"]

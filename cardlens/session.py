@@ -34,12 +34,15 @@ def build_session(app: str = "cardlens", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where none is named (tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Where none is named a local folder serves a local master; on a cluster
+    it would be another one on each machine, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="cardlens-checkpoint-")
     context.setCheckpointDir(folder)
     return folder

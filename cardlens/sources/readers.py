@@ -115,12 +115,3 @@ def safe_select(spark: SparkSession, sql: str, limit: int = 1000) -> DataFrame:
             raise ValueError(f"{word} is not allowed")
     df = spark.sql(text)
     return df if re.search(r"(?i)\blimit\b", bare) else df.limit(limit)
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input with fewer splits than cores by a hash of its key, for work that is heavy per row.
-
-    Inputs of cluster size have more splits than cores and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
