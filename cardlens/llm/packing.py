@@ -6,6 +6,8 @@ left in its bins.
 """
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 SIZE = 2048
 GROUP = 4096       # pieces a group holds on average
 END_ID = 1
-CACHE = 1_000_000  # words whose ids a task keeps
+CACHE = 500_000    # words, and twice as many of their letter parts, whose ids a worker process keeps
 ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -29,22 +31,26 @@ def word_encoder(definition: str) -> Callable[[str], bytes]:
     """
     from tokenizers import Tokenizer
 
+    # A worker process serves many tasks: what it has met stays known to it, in a module of its own.
+    kept = sys.modules.setdefault("_word_encoders", types.ModuleType("_word_encoders"))
+    if found := getattr(kept, "by_definition", {}).get(definition):
+        return found
     tokenizer = Tokenizer.from_str(definition)
 
     def encode(word: str) -> bytes:
         return np.asarray(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     class Known(dict):
-        def __init__(self, find):
-            self.find = find
+        def __init__(self, find, limit):
+            self.find, self.limit = find, limit
 
         def __missing__(self, word: str) -> bytes:
-            if len(self) >= CACHE:
+            if len(self) >= self.limit:
                 self.clear()
             ids = self[word] = self.find(word)
             return ids
 
-    parts = Known(encode)
+    parts = Known(encode, 2 * CACHE)
 
     def split(word: str) -> bytes:
         core = word.rstrip(ASCII_MARKS)
@@ -55,8 +61,9 @@ def word_encoder(definition: str) -> Callable[[str], bytes]:
             core = core.lower()
         return parts[core] + parts[marks] if marks else parts[core]
 
-    words = Known(split)
-    return lambda text: b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
+    words = Known(split, CACHE)
+    kept.by_definition = {definition: lambda text: b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))}
+    return kept.by_definition[definition]
 
 
 def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
