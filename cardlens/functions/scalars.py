@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 EPOCH_DAY = dt.date(1970, 1, 1)
 DATE_FORMATS = ["yyyy-MM-dd", "dd.MM.yyyy", "yyyy/MM/dd", "dd/MM/yyyy"]
+CARD_FACTOR, CARD_SHIFT = 48271, 12345678901  # of the map of card numbers; the factor shares no divisor with 10
 DAY_BASES = ["1899-12-30", "1900-01-01", "1970-01-01", "2000-01-01"]
 TRUE_WORDS = ["1", "true", "yes"]
 REGION_IP_PREFIX = {
@@ -56,9 +57,9 @@ def parse_date(c: Column | str, fmt: str = "dd.MM.yyyy") -> Column:
 
 
 def parse_date_multi(c: Column | str, default: dt.date | None = EPOCH_DAY) -> Column:
-    """The known day formats on the first ten characters, then compact digits; else the default."""
+    """The known day formats, alone or followed by a time, then compact digits; else the default."""
     text = F.trim(col(c))
-    head = F.substring(text, 1, 10)
+    head = F.when(text.rlike(r"^\S{10}([ T]\d{1,2}:\d{2}.*)?$"), F.substring(text, 1, 10))
     tries = [F.try_to_date(head, fmt) for fmt in DATE_FORMATS]
     compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
     return F.coalesce(*tries, compact, F.lit(default).cast("date"))
@@ -160,10 +161,26 @@ def region_ip_fill(ip: Column | str, region: Column | str, key: Column | str, mi
     return F.when(is_missing(ip) if missing is None else missing, F.coalesce(known, general)).otherwise(col(ip))
 
 
-def hash_card(key: Column | str, prefix: str = "8600") -> Column:
-    """A repeatable 16-digit stand-in for an unusable card number; equal keys keep equal cards."""
-    digits = F.concat(F.lpad(hash_number(key, "x").cast("string"), 10, "0"), F.lpad((hash_number(key, "y") % 100).cast("string"), 2, "0"))
-    return F.concat(F.lit(prefix), digits)
+def luhn_digit(body: Column) -> Column:
+    """The check digit that makes a text of digits pass ``luhn_valid``."""
+    digits = F.reverse(F.filter(F.split(body, ""), lambda d: d != ""))
+    weigh = lambda d, i: F.when(i % 2 == 1, d).when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
+    total = F.aggregate(F.transform(digits, lambda d, i: weigh(d.cast("int"), i)), F.lit(0), lambda acc, d: acc + d)
+    return ((10 - total % 10) % 10).cast("string")
+
+
+def hash_card(key: Column | str, prefix: str = "8600", other_prefix: str = "8601") -> Column:
+    """A repeatable 16-digit stand-in with a valid check digit for an unusable card number; equal keys keep equal cards.
+
+    Whole numbers below 10^11 are spread by a one-to-one map, so different ones never meet. Other keys get eleven hashed
+    digits behind a prefix of their own.
+    """
+    text = col(key).cast("string")
+    number = F.when(text.rlike(r"^(0|[1-9]\d{0,10})$"), text.try_cast("bigint"))
+    spread = F.lpad(((number * CARD_FACTOR + CARD_SHIFT) % 10 ** 11).cast("string"), 11, "0")
+    hashed = F.concat(F.lpad(hash_number(key, "x").cast("string"), 10, "0"), (hash_number(key, "y") % 10).cast("string"))
+    body = F.when(number.isNotNull(), F.concat(F.lit(prefix), spread)).otherwise(F.concat(F.lit(other_prefix), hashed))
+    return F.transform(F.array(body), lambda b: F.concat(b, luhn_digit(b)))[0]
 
 
 def unique_txn_code(stamp: Column | str, card: Column | str, row_id: Column | str) -> Column:

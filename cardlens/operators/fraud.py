@@ -1,7 +1,9 @@
 """Fraud models: splits, scaling, training, exact ranking metrics, calibration, thresholds and explanations."""
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -10,12 +12,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import running_totals, with_scalars
+from cardlens.functions.distributed import join_null_safe, running_totals, with_scalars
 from cardlens.functions.scalars import hash_number, newest_day, ratio
 from cardlens.operators.features import ALL_FEATURES, card_features, card_graph_features, fraud_features, graph_edges, merchant_graph_features
 from cardlens.operators.joins import cross_scalars
@@ -23,15 +24,28 @@ from cardlens.operators.joins import cross_scalars
 # The threshold grid of the expected-value search.
 GRID_LOW, GRID_HIGH, GRID_POINTS = 0.01, 0.99, 200
 LOGIT_BINS = 2000
+SPLIT_BUCKETS = 10_000
 
 
 # ---- splits and scaling ----------------------------------------------------------------------------------------
 
-def stratified_split(df: DataFrame, holdout: float = 0.2, seed: int = 42, key: str = "transaction_id") -> tuple[DataFrame, DataFrame]:
-    """Repeatable split by a hash of the row key. The hash does not depend on the label, so each label is split in the
-    same proportion; rows may be re-read in any order."""
-    pick = hash_number(key, str(seed)) % 10000
-    return df.where(pick >= int(holdout * 10000)), df.where(pick < int(holdout * 10000))
+def stratified_split(df: DataFrame, holdout: float = 0.2, seed: int = 42, key: str = "transaction_id", label: str = "fraud_proxy") -> tuple[DataFrame, DataFrame]:
+    """Repeatable split in which each label gives its rounded share, at least one row where it has two.
+
+    Rows are ranked by a hash of their key within label and hash bucket, buckets are counted within the label, so no
+    label is ever sorted in one piece; rows may be re-read in any order.
+    """
+    number = hash_number(key, str(seed))
+    place = F.row_number().over(W.partitionBy(label, "_bucket").orderBy("_hash", key))
+    ranked = df.withColumns({"_hash": number, "_bucket": number % SPLIT_BUCKETS}).withColumn("_place", place)
+    counts = ranked.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
+    total = F.sum("_n").over(W.partitionBy(label))
+    before = F.sum("_n").over(W.partitionBy(label).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    wanted = F.when(total > 1, F.greatest(F.lit(1), F.floor(total * holdout + 0.5))).otherwise(0)
+    limits = counts.select(label, "_bucket", (wanted - F.coalesce(before, F.lit(0))).alias("_take"))
+    marked = join_null_safe(ranked, limits, [label, "_bucket"])
+    held = F.col("_place") <= F.col("_take")
+    return marked.where(~held).select(*df.columns), marked.where(held).select(*df.columns)
 
 
 def temporal_split(df: DataFrame, train_days: int = 120, valid_days: int = 30, as_of=None,
@@ -94,19 +108,34 @@ def benchmark_models(train: DataFrame, valid: DataFrame, features: Sequence[str]
 
 
 def tune(train: DataFrame, features: Sequence[str] = ALL_FEATURES, label: str = "fraud_proxy", kind: str = "gbt",
-         space: Mapping[str, Sequence] | None = None, seed: int = 42, parallelism: int = 2, **params) -> tuple[Model, DataFrame]:
-    """Search over a grid of learner parameters by area under the curve on a held-out fifth."""
+         space: Mapping[str, Sequence | tuple] | None = None, trials: int = 10, seed: int = 42, parallelism: int = 2,
+         **params) -> tuple[Model, DataFrame]:
+    """Random search by area under the curve on the repeatable held-out fifth of each label.
+
+    ``space`` gives a list of choices or a pair (low, high) for each parameter; whole-number pairs draw whole numbers.
+    Repeated draws count once. The best model and (params, roc_auc), best first.
+    """
+    rng = random.Random(seed)
+    draw = lambda v: (rng.randint(*v) if all(isinstance(x, int) for x in v) else rng.uniform(*v)) if isinstance(v, tuple) else rng.choice(list(v))
+    space = space or {"maxDepth": (2, 8), "minInstancesPerNode": (1, 50)}
+    points = list({tuple(sorted(p.items())): p for p in ({n: draw(v) for n, v in space.items()} for _ in range(trials))}.values())
+    fit_on, held = (part.persist() for part in stratified_split(train, 0.2, seed, label=label))
     base = learner(kind, **params)
-    grid = ParamGridBuilder()
-    for name, values in (space or {"maxDepth": [3, 6]}).items():
-        grid = grid.addGrid(base.getParam(name), list(values))
-    search = TrainValidationSplit(
-        estimator=Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), base]), estimatorParamMaps=grid.build(),
-        evaluator=BinaryClassificationEvaluator(labelCol="_label"), trainRatio=0.8, seed=seed, parallelism=parallelism)
-    fitted = search.fit(_weighted(train, label))
-    rows = [(", ".join(f"{p.name}={v}" for p, v in point.items()), float(metric))
-            for point, metric in zip(fitted.getEstimatorParamMaps(), fitted.validationMetrics)]
-    return fitted.bestModel, train.sparkSession.createDataFrame(rows, "params string, roc_auc double").orderBy(F.col("roc_auc").desc())
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), base])
+    weighted, judged = _weighted(fit_on, label), held.withColumn("_label", F.col(label).cast("double"))
+    by_area = BinaryClassificationEvaluator(labelCol="_label")
+
+    def trial(point: dict) -> tuple[Model, float]:
+        model = pipeline.fit(weighted, {base.getParam(n): v for n, v in point.items()})
+        return model, float(by_area.evaluate(model.transform(judged)))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        tried = list(pool.map(trial, points))
+    for part in (fit_on, held):
+        part.unpersist()
+    rows = [(", ".join(f"{n}={v}" for n, v in sorted(point.items())), area) for point, (_, area) in zip(points, tried)]
+    best = max(tried, key=lambda t: t[1])[0]
+    return best, train.sparkSession.createDataFrame(rows, "params string, roc_auc double").orderBy(F.col("roc_auc").desc())
 
 
 # ---- metrics ---------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from cardlens.operators import metrics as m
 from cardlens.operators import segments as s
 from cardlens.operators import setops as k
 from cardlens.operators import windows as w
-from cardlens.plans.registry import DIRTY, TXN, query
+from cardlens.plans.registry import DIRTY, TXN, on_nulled, query, with_missing
 from cardlens.sources.model import last_day, transactions, transactions_dirty
 
 CARD_COLUMNS = ["hpan", "transaction_date", "amount_uzs", "p2p_flag", "mcc", "merchant_name", "hour_num"]
@@ -114,6 +114,12 @@ def _(spark, d):
                            ).select("transaction_id", "running_count")
 
 
+@query("running_count_null_card", on_nulled("running_count"))
+def _(spark, d):
+    names = ["transaction_id", "card_masked", "transaction_date", "transaction_time", "merchant"]
+    return w.running_count(with_missing(transactions(spark, d, *names))).select("transaction_id", "running_count")
+
+
 @query("velocity_count", TXN + """
 SELECT transaction_id, count(*) OVER (PARTITION BY card_masked ORDER BY transaction_time
   RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS velocity_count FROM txn""")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cardlens.functions.distributed import heaviest_value, top_values
 from cardlens.operators import metrics as m
-from cardlens.plans.registry import TXN, query
+from cardlens.plans.registry import TXN, on_nulled, query, with_missing
 from cardlens.sources.model import last_day, transactions
 
 AMOUNTS = "CAST(sum(amount) AS DOUBLE)"
@@ -294,3 +294,17 @@ SELECT merchant_name, {AMOUNTS} AS volume, row_number() OVER (ORDER BY sum(amoun
 FROM txn GROUP BY merchant_name ORDER BY rank LIMIT 25""")
 def _(spark, d):
     return m.rank_top(transactions(spark, d, "merchant_name", "amount_uzs"), "merchant_name", 25)
+
+
+# ---- missing keys ----------------------------------------------------------------------------------------------
+
+@query("daily_metrics_null_company", on_nulled("daily_metrics").replace("ORDER BY count(*) DESC, mcc_code)", "ORDER BY count(*) DESC, mcc_code NULLS FIRST)")
+       .replace("any_value(codes) AS", "coalesce(any_value(codes), '') AS"))
+def _(spark, d):
+    return m.daily_metrics(with_missing(transactions(spark, d, "transaction_date", "company_id", "amount", "card_masked", "merchant_id",
+                                                     "is_fraud", "mcc_code", "merchant")))
+
+
+@query("top_n_plus_other_null", on_nulled("top_n_plus_other").replace("ORDER BY sum(amount) DESC, CAST(mcc AS VARCHAR))", "ORDER BY sum(amount) DESC, CAST(mcc AS VARCHAR) NULLS FIRST)"))
+def _(spark, d):
+    return m.top_n_plus_other(with_missing(transactions(spark, d, "mcc", "amount_uzs", "merchant")))

@@ -22,12 +22,12 @@ def scored(spark, d):
     return df.select("transaction_id", "transaction_date", "fraud_proxy", F.round(value, 4).alias("score"))
 
 
-@query("stratified_split", TXN + """SELECT CASE WHEN CAST('0x' || substr(md5(transaction_id || '42'), 1, 8) AS BIGINT) % 10000 >= 2000 THEN 'train' ELSE 'holdout' END AS part,
-  fraud_proxy, count(*) AS n FROM txn GROUP BY ALL""")
+@query("stratified_split", TXN + """, h AS (SELECT transaction_id, fraud_proxy, CAST('0x' || substr(md5(transaction_id || '42'), 1, 8) AS BIGINT) AS h FROM txn),
+r AS (SELECT *, row_number() OVER (PARTITION BY fraud_proxy ORDER BY h % 10000, h, transaction_id) AS r, count(*) OVER (PARTITION BY fraud_proxy) AS n FROM h)
+SELECT transaction_id, fraud_proxy, CASE WHEN r <= CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2 + 0.5)) ELSE 0 END THEN 'holdout' ELSE 'train' END AS part FROM r""")
 def _(spark, d):
     train, hold = fr.stratified_split(transactions(spark, d, "transaction_id", "fraud_proxy"))
-    both = train.withColumn("part", F.lit("train")).unionByName(hold.withColumn("part", F.lit("holdout")))
-    return both.groupBy("part", "fraud_proxy").agg(F.count("*").alias("n"))
+    return train.withColumn("part", F.lit("train")).unionByName(hold.withColumn("part", F.lit("holdout")))
 
 
 @query("temporal_split", TXN + """SELECT CASE WHEN transaction_date >= d - 30 THEN 'valid' ELSE 'train' END AS part, count(*) AS n, CAST(min(transaction_date) AS VARCHAR) AS first_day,
@@ -121,7 +121,7 @@ def _(spark, d):
 
 @query("tune_fraud_model")
 def _(spark, d):
-    return fr.tune(_basic(spark, d).persist(), f.BASIC_FEATURES, kind="forest", space={"maxDepth": [3, 5]}, trees=5)[1]
+    return fr.tune(_basic(spark, d).persist(), f.BASIC_FEATURES, kind="forest", space={"maxDepth": (2, 6), "minInstancesPerNode": (1, 40), "subsamplingRate": (0.5, 1.0)}, trials=3, trees=5)[1]
 
 
 @query("feature_importance")

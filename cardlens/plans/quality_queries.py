@@ -174,8 +174,9 @@ REPAIRED = TYPED + f""", r1 AS (SELECT * REPLACE ({FIXED_RESP} AS respcode) FROM
 r2 AS (SELECT * REPLACE (CASE WHEN p2p_flag = 0 THEN '' ELSE sender_hpan END AS sender_hpan, CASE WHEN p2p_flag = 0 THEN '' ELSE p2p_type END AS p2p_type,
     CASE WHEN p2p_flag = 0 THEN '' ELSE receiver_bank END AS receiver_bank, CASE WHEN fraud_proxy = 1 AND respcode = '00' THEN '05' ELSE respcode END AS respcode,
     abs(amount_uzs) AS amount_uzs) FROM r1),
-r3 AS (SELECT * REPLACE ('8600' || lpad(CAST({NUM.format("(hpan || 'x')")} AS VARCHAR), 10, '0') || lpad(CAST({NUM.format("(hpan || 'y')")} % 100 AS VARCHAR), 2, '0') AS hpan,
-    CASE WHEN hour_num BETWEEN 0 AND 23 THEN hour_num ELSE {NUM.format("(transaction_id || 'h')")} % 24 END AS hour_num) FROM r2),
+r3 AS (SELECT * REPLACE (body || (10 - list_sum([CASE WHEN i % 2 = 0 THEN CAST(body[i] AS INT) WHEN CAST(body[i] AS INT) > 4 THEN 2 * CAST(body[i] AS INT) - 9 ELSE 2 * CAST(body[i] AS INT) END
+      FOR i IN range(1, 16)]) % 10) % 10 AS hpan,
+    CASE WHEN hour_num BETWEEN 0 AND 23 THEN hour_num ELSE {NUM.format("(transaction_id || 'h')")} % 24 END AS hour_num) FROM (SELECT *, '8600' || lpad(CAST((CAST(hpan AS BIGINT) * 48271 + 12345678901) % 100000000000 AS VARCHAR), 11, '0') AS body FROM r2)),
 lim AS (SELECT *, greatest(least(CAST(amount_uzs AS DOUBLE), 1000000000), 100) AS la FROM r3),
 fen AS (SELECT quantile_cont(la, 0.25) AS q1, quantile_cont(la, 0.75) AS q3 FROM lim WHERE amount_uzs IS NOT NULL),
 r4 AS (SELECT lim.* EXCLUDE (la) REPLACE (CASE WHEN amount_uzs IS NOT NULL THEN greatest(least(la, q3 + 3 * (q3 - q1)), q1 - 3 * (q3 - q1)) END AS amount_uzs) FROM lim, fen),

@@ -95,6 +95,23 @@ TXN = """WITH txn AS (
 ), edge AS (SELECT max(transaction_date) AS d FROM txn)
 """
 
+# The canonical frame with missing cards, companies and codes, to follow TXN in the WITH list.
+MISSING = {"card_masked": 7, "company_id": 5, "mcc": 3, "mcc_code": 3}
+NULLED = TXN + ", nul AS (SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN merchant % {m} = 0 THEN NULL ELSE {c} END AS {c}" for c, m in MISSING.items()) + ") FROM txn)"
+
+
+def on_nulled(name: str) -> str:
+    """The SQL of a registered query over the frame with missing keys."""
+    return NULLED + SQL[name].removeprefix(TXN).replace("FROM txn", "FROM nul").replace(
+        "t JOIN top USING (transaction_date, company_id)", "t JOIN top ON t.transaction_date = top.transaction_date AND t.company_id IS NOT DISTINCT FROM top.company_id")
+
+
+def with_missing(df: DataFrame) -> DataFrame:
+    """The frame (with ``merchant``) with the same keys missing as in ``NULLED``."""
+    return df.withColumns({c: F.when(F.col("merchant") % m != 0, F.col(c)) for c, m in MISSING.items() if c in df.columns})
+
+
 # The dirty variant, to follow TXN in the WITH list.
 DIRTY = TXN + """, dirty AS (
   SELECT transaction_id, transaction_code, hpan, pinfl, emitent_bank, CAST(merchant AS VARCHAR) AS merchant,

@@ -41,10 +41,22 @@ def publish(df: DataFrame, live: str, checks: Sequence[Column]) -> DataFrame:
     failed = [i for i, ok in enumerate(passed) if not ok]
     if failed:
         raise ValueError(f"checks {failed} failed for {live}; the live table is unchanged")
-    if spark.catalog.tableExists(live):
-        spark.sql(f"DROP TABLE IF EXISTS {backup}")
+    older = f"{live}_older"
+    replaced = spark.catalog.tableExists(live)
+    if replaced:
+        spark.sql(f"DROP TABLE IF EXISTS {older}")
+        if spark.catalog.tableExists(backup):
+            spark.sql(f"ALTER TABLE {backup} RENAME TO {older}")
         spark.sql(f"ALTER TABLE {live} RENAME TO {backup}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {live}")
+    try:
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {live}")
+    except Exception:
+        if replaced:  # put everything back as it was
+            spark.sql(f"ALTER TABLE {backup} RENAME TO {live}")
+            if spark.catalog.tableExists(older):
+                spark.sql(f"ALTER TABLE {older} RENAME TO {backup}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {older}")
     return table_extent(spark.table(live))
 
 

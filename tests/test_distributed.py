@@ -99,3 +99,42 @@ def test_quartiles_fall_back_to_equal_widths_when_edges_repeat(spark):
 def test_window_group_limit_runs_before_the_shuffle(spark):
     plan = ds.top_per_key(_skewed(spark), ["hpan"], [F.col("transaction_time")], 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def _odd_cards(spark):
+    """300 rows of one card among others: hours unlike the times, missing times, a NULL card with many rows."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        card = ["hot", None, f"c{rng.randrange(9)}"][i % 3]
+        when = None if rng.random() < 0.2 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(60 * 90))
+        day = when.date() if when else dt.date(2024, 1, 1 + rng.randrange(3))
+        rows.append((f"t{i:05d}", card, day, when, rng.randrange(24), float(rng.randrange(0, 900))))
+    return spark.createDataFrame(rows, "transaction_id string, hpan string, transaction_date date, transaction_time timestamp, hour_num int, amount_uzs double")
+
+
+def test_slices_do_not_change_results(spark):
+    df = _odd_cards(spark)
+    whole = sequence_features(df).orderBy("transaction_id").collect()
+    assert len(whole) == 900
+    for size in (7, 40):
+        cut = sequence_features(df, slice_rows=size).select(*whole[0].asDict()).orderBy("transaction_id").collect()
+        assert [tuple(r)[:7] for r in cut] == [tuple(r)[:7] for r in whole]
+        for a, b in zip(cut, whole):
+            assert tuple(a)[7:] == pytest.approx(tuple(b)[7:])
+    rows = {r.transaction_id: r for r in whole}
+    order = lambda r: (r.transaction_time is not None, r.transaction_time or dt.datetime.min, r.transaction_id)
+    for card in ("hot", None, "c3"):
+        mine = sorted((r for r in whole if r.hpan == card), key=order)
+        for i, r in enumerate(mine):
+            last = mine[max(0, i - 9):i + 1]
+            assert rows[r.transaction_id].prev_amount == (mine[i - 1].amount_uzs if i else None)
+            assert rows[r.transaction_id].card_avg_amount == pytest.approx(sum(x.amount_uzs for x in last) / len(last))
+            same = [x for x in mine if (x.transaction_date, x.hour_num) == (r.transaction_date, r.hour_num)]
+            assert rows[r.transaction_id].txn_hour_count == same.index(r) + 1
+
+
+def test_rows_without_card_stay(spark):
+    df = _odd_cards(spark)
+    assert running_count(df, "hpan").count() == velocity_count(df, "hpan").count() == 900
+    assert velocity_count(df, "hpan").where("transaction_time is null and velocity_count is not null").count() == 0

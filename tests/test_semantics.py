@@ -146,26 +146,23 @@ def test_hierarchy_adds_up(spark):
     assert sums["merchant"] == pytest.approx(sums["mcc"]) == pytest.approx(sums["total"])
 
 
-def _pack(text, size, overlap):
-    done, lines, used = [], [], 0
-    for line in text.split("\n"):
-        if used + len(line) > size and lines:
-            done.append("\n".join(lines))
-            back = int(len(lines) * 0.1) if overlap else 0
-            lines = lines[len(lines) - back:]
-            used = sum(map(len, lines))
-        lines.append(line)
-        used += len(line)
-    return done + (["\n".join(lines)] if lines else [])
-
-
-def test_table_chunks_by_brute_force(spark):
+def test_table_chunks_hold_the_text(spark):
+    """Without the repeated lines the chunks are the text; only a single line passes the size; a tenth of the lines repeats."""
     rng = random.Random(4)
-    docs = [(i, "table", "\n".join("x" * rng.randrange(0, 60) for _ in range(rng.randrange(1, 90)))) for i in range(12)]
+    texts = {i: "\n".join("".join(rng.choices("abc", k=rng.randrange(0, 60))) for _ in range(rng.randrange(1, 200))) for i in range(12)}
+    frame = spark.createDataFrame([(i, "table", t) for i, t in texts.items()], "doc_id int, type string, content string")
     got = {}
-    for r in tx.chunk_documents(spark.createDataFrame(docs, "doc_id int, type string, content string"), 120, 10).orderBy("doc_id", "section").collect():
-        got.setdefault(r.doc_id, []).append(r.text)
-    assert got == {i: _pack(text, 120, 10) for i, _, text in docs}
+    for r in tx.chunk_documents(frame, 300, 10).orderBy("doc_id", "section").collect():
+        got.setdefault(r.doc_id, []).append(r.text.split("\n"))
+    for i, chunks in got.items():
+        lines = list(chunks[0])
+        for before, chunk in zip(chunks, chunks[1:]):
+            repeat = len(before) // 10
+            assert chunk[:repeat] == before[len(before) - repeat:]
+            assert sum(map(len, before)) + len(chunk[repeat]) > 300  # a chunk ends only where the next line does not fit
+            lines += chunk[repeat:]
+        assert "\n".join(lines) == texts[i]
+        assert all(sum(map(len, c)) <= 300 or len(c) == 1 for c in chunks)
 
 
 def test_query_expansion(spark):
@@ -195,3 +192,24 @@ def test_clip_keeps_missing_amounts(spark):
 
 def test_division_by_zero_gives_null(spark):
     assert spark.range(1).select(sc.percent(F.lit(1), F.lit(0)).alias("x")).first().x is None
+
+
+def test_stand_in_cards_pass_the_check_and_do_not_meet(spark):
+    keys = [str(i) for i in range(3000)] + ["007", "7a", None, "x-1", "123456789012"]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", sc.hash_card("k").alias("c")).withColumn("ok", sc.luhn_valid("c")).collect()
+    assert all(len(r.c) == 16 and r.ok for r in rows if r.k is not None)
+    assert len({r.c for r in rows}) == len(rows)
+
+
+def test_split_keeps_rare_labels(spark):
+    df = spark.createDataFrame([(f"t{i}", 1 if i < 3 else 0 if i < 1000 else None) for i in range(1100)], "transaction_id string, fraud_proxy int")
+    train, hold = fr.stratified_split(df)
+    counts = {r.fraud_proxy: r["count"] for r in hold.groupBy("fraud_proxy").count().collect()}
+    assert counts == {1: 1, 0: 199, None: 20}
+    assert train.count() + hold.count() == 1100 and train.join(hold, "transaction_id").count() == 0
+
+
+def test_dates_are_read_whole(spark):
+    texts = ["2024-01-05", "2024-01-05junk", "05.01.2024 10:30", "2024-01-05T07:00:00", "20240105", "2024-01-05 x"]
+    days = spark.createDataFrame([(t,) for t in texts], "t string").select(sc.parse_date_multi("t").cast("string").alias("d")).collect()
+    assert [r.d for r in days] == ["2024-01-05", "1970-01-01", "2024-01-05", "2024-01-05", "2024-01-05", "1970-01-01"]
