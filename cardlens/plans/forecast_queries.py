@@ -163,9 +163,10 @@ def _(spark, d):
     return _rounded(_rounded(fc.ljung_box(mcc_series(spark, d), 10), "statistic"), "p_value", digits=6)
 
 
-@query("ljung_box_odd", _ljung(7) + "SELECT series_key, n, round(q, 4) AS statistic FROM q")
+@query("ljung_box_odd", _ljung(7) + """, pv AS (SELECT *, CASE WHEN q > 300 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 600), lambda i: exp((3.5 + i) * ln(q / 2) - q / 2 - lgamma(4.5 + i)))) END AS p FROM q)
+SELECT series_key, n, round(q, 4) AS statistic, round(greatest(p, 0), 6) AS p_value, CASE WHEN p < 0.05 THEN 1 ELSE 0 END AS autocorrelated FROM pv""")
 def _(spark, d):
-    return _rounded(fc.ljung_box(mcc_series(spark, d), 7), "statistic").select("series_key", "n", "statistic")
+    return _rounded(_rounded(fc.ljung_box(mcc_series(spark, d), 7), "statistic"), "p_value", digits=6)
 
 
 @query("diagnose_series", DECOMPOSED + """, iq AS (SELECT series_key, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM s GROUP BY 1),

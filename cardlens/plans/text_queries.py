@@ -47,7 +47,14 @@ def _(spark, d):
     return t.chunk_documents(docs).withColumn("text", F.md5("text"))
 
 
-@query("chunk_tables")
+@query("chunk_tables", """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, lines, list_transform(lines, lambda x: length(x)) AS lens, len(lines) AS n FROM l),
+f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS made, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM n
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN full_ THEN i - back ELSE first END,
+    CASE WHEN full_ THEN coalesce(list_sum(lens[i - back + 1:i]), 0) ELSE size END + lens[i + 1], made + CASE WHEN full_ THEN 1 ELSE 0 END, CASE WHEN full_ THEN first END, CASE WHEN full_ THEN i END
+  FROM (SELECT f.*, n.lens, size + lens[i + 1] > 500 AND i > first AS full_, CAST(floor((i - first) * 0.1) AS BIGINT) AS back FROM f JOIN n USING (doc_id) WHERE i < n.n)),
+c AS (SELECT doc_id, made - 1 AS section, a, b FROM f WHERE a IS NOT NULL UNION ALL SELECT f.doc_id, made, first, n.n FROM f JOIN n ON f.doc_id = n.doc_id AND f.i = n.n)
+SELECT c.doc_id, 'table' AS type, CAST(section AS BIGINT) AS section, CAST(0 AS BIGINT) AS subsection, array_to_string(lines[a + 1:b], chr(10)) AS text FROM c JOIN n USING (doc_id)""")
 def _(spark, d):
     return t.chunk_documents(_docs(spark, d, "table"))
 
