@@ -5,6 +5,8 @@ keeps its state bounded by a watermark and its progress in a checkpoint folder g
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +51,8 @@ def daily_rollup_stream(txn: DataFrame, path: str, checkpoint: str, late: str =
     """Running sum and count per day and code, kept current as rows arrive.
 
     In update mode each batch brings the new totals of the groups it touched. They go to a folder named after the batch,
-    which a retried batch overwrites, so a restart never doubles a total; ``daily_rollup`` reads the newest total of each group.
+    which a retried batch overwrites, so a restart never doubles a total; ``daily_rollup`` reads the newest total of each group
+    and ``compact_rollup``, to be run between batches, folds the folders into one.
     """
     totals = txn.withWatermark("event_time", late).groupBy(F.window("event_time", "1 day").alias("w"), "mcc").agg(
         F.sum("amount").alias("total_amount"), F.count("*").alias("transaction_count"))
@@ -63,12 +66,43 @@ def daily_rollup_stream(txn: DataFrame, path: str, checkpoint: str, late: str =
     return query
 
 
+def _folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """Subfolders ``name=number`` of a folder, in any file system that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return {}
+    names = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()]
+    return {int(n.partition("=")[2]): f"{path}/{n}" for n in names if n.startswith(f"{name}=")}
+
+
+def _newest_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest total of each group with the batch it came in: the last base and the batches after it."""
+    bases, batches = _folders(spark, f"{path}-base", "upto"), _folders(spark, path, "batch_id")
+    upto = max(bases, default=-1)
+    parts = [spark.read.parquet(p).withColumn("batch_id", F.lit(i).cast("bigint")) for i, p in sorted(batches.items()) if i > upto]
+    if bases:
+        parts.append(spark.read.parquet(bases[upto]))
+    newest = F.max_by(F.struct("total_amount", "transaction_count", "batch_id"), "batch_id")
+    return reduce(DataFrame.unionByName, parts).groupBy("transaction_date", "mcc").agg(newest.alias("s")).select("transaction_date", "mcc", "s.*")
+
+
+def compact_rollup(spark: SparkSession, path: str) -> None:
+    """Fold all batches so far into one base, then delete what it holds. A stop in between leaves both, which reads alike."""
+    bases, batches = _folders(spark, f"{path}-base", "upto"), _folders(spark, path, "batch_id")
+    if not batches or max(batches) <= max(bases, default=-1):
+        return
+    upto = max(batches)
+    _newest_totals(spark, path).write.mode("overwrite").parquet(f"{path}-base/upto={upto}")
+    for folder in [*batches.values(), *bases.values()]:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def daily_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Newest totals per day and code, with the mean from them."""
-    newest = F.max_by(F.struct("total_amount", "transaction_count"), "batch_id")
-    latest = spark.read.parquet(path).groupBy("transaction_date", "mcc").agg(newest.alias("s"))
-    return latest.select("transaction_date", "mcc", "s.total_amount", "s.transaction_count",
-                         ratio(F.col("s.total_amount"), F.col("s.transaction_count")).alias("avg_amount"))
+    return _newest_totals(spark, path).select("transaction_date", "mcc", "total_amount", "transaction_count",
+                                              ratio(F.col("total_amount"), F.col("transaction_count")).alias("avg_amount"))
 
 
 def ingest_stream(raw: DataFrame, key: str = "transaction_id", late: str = "7 days", time_col: str = "ingest_time") -> DataFrame:
