@@ -22,7 +22,7 @@ from cardlens.session import cut_lineage
 WINDOW_WORDS = 50
 BASE = 0x9E3779B97F4A7C15      # odd, hence invertible modulo 2^64
 ANCHOR_BASE = 0xC2B2AE3D27D4EB4F
-SHARE_ROWS = 5_000             # documents per anchor that one salted group holds on average
+SHARE_ROWS = 20_000            # windows of one anchor that a salted group holds on average
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -74,18 +74,20 @@ def window_anchors(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def _anchors(docs: DataFrame, size: int) -> DataFrame:
-    """(_id, _text, _anchors): the distinct anchors of each document."""
+    """(_id, _text, _anchors): the distinct anchors of each document, with the number of windows of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(window_anchors(word_hashes(split_words(t.as_py())), size)).view(np.int64) for t in batch.column(2)]
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())
+            found = [np.unique(window_anchors(word_hashes(split_words(t.as_py())), size), return_counts=True) for t in batch.column(2)]
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f, _ in found])]).astype(np.int32)
+            values = pa.StructArray.from_arrays([
+                pa.array(np.concatenate([f for f, _ in found] or [np.zeros(0, np.uint64)]).view(np.int64)),
+                pa.array(np.concatenate([n for _, n in found] or [np.zeros(0)]).astype(np.int32))], ["anchor", "windows"])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), values)],
                                              names=["_id", "_text", "_anchors"])
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.mapInArrow(run, f"_id {kind}, _text long, _anchors array<long>").where(F.size("_anchors") > 0)
+    return docs.mapInArrow(run, f"_id {kind}, _text long, _anchors array<struct<anchor:long,windows:int>>").where(F.size("_anchors") > 0)
 
 
 def _order(id_col: str = "_id"):
@@ -96,10 +98,10 @@ def _order(id_col: str = "_id"):
 def _repeated_anchors(anchors: DataFrame) -> DataFrame:
     """(_id, _text, _shared): per document its anchors that occur in other documents too, with a number of salts each."""
     key = ["_id", "_text"]
-    each = anchors.select(*key, F.explode_outer("_anchors").alias("anchor")).where(F.col("anchor").isNotNull())
-    totals = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min(_order()).alias("lo"), F.max(_order()).alias("hi"))
+    each = anchors.select(*key, F.explode_outer("_anchors").alias("a")).where(F.col("a").isNotNull()).select(*key, "a.*")
+    totals = each.groupBy("anchor").agg(F.sum("windows").alias("n"), F.min(_order()).alias("lo"), F.max(_order()).alias("hi"))
     shared = totals.where(F.col("lo") != F.col("hi")).select("anchor", F.ceil(F.col("n") / SHARE_ROWS).cast("int").alias("salts"))
-    return each.join(shared, "anchor").groupBy(*key).agg(F.collect_set(F.struct("anchor", "salts")).alias("_shared"))
+    return each.drop("windows").join(shared, "anchor").groupBy(*key).agg(F.collect_set(F.struct("anchor", "salts")).alias("_shared"))
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
