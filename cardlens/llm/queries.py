@@ -72,7 +72,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-@query("op6_repeats")
+@query("op6_repeats", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS q FROM d),
+x AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 50], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS p FROM d)),
+f AS (SELECT g, min(doc_id) AS first FROM x GROUP BY g),
+r AS (SELECT DISTINCT doc_id, q FROM (SELECT x.doc_id, unnest(range(p, p + 50)) AS q FROM x JOIN f USING (g) WHERE x.doc_id > first)),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.q) AS kept FROM t ANTI JOIN r USING (doc_id, q) GROUP BY t.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardlens.llm.substring import remove_repeats
 
