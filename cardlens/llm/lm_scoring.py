@@ -7,6 +7,8 @@ are thus distinct per block, sorted and packed, so a very common n-gram costs on
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +19,7 @@ from cardlens.llm.licenses import split_words
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_DOCS = 3000   # documents of a block, on average
-PART_BLOCKS = 1.0   # parts of the count table per block
+BLOCK_DOCS = 3000   # documents of a block, on average; more where blocks times parts would outnumber a third of the rows
 UNSEEN = 0.5        # count of a word that no other document has
 
 
@@ -112,7 +113,7 @@ def edges(parts: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF,
-          block_docs: int = BLOCK_DOCS) -> DataFrame:
+          block_docs: int | None = None) -> DataFrame:
     """One row per document row: id, n_words, log_score (sum over words), mean_log_score (NULL without words).
 
     A word scores count(n-gram) / count(its context) for the longest n-gram up to ``order`` that other rows of the table
@@ -120,8 +121,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     that none of them has. Repeated rows are rows of their own, so they count for each other. NULL and empty texts have no
     words and score 0. An empty table gives an empty result.
     """
-    blocks = max(1, -(-docs.count() // block_docs))
-    parts = max(1, round(blocks * PART_BLOCKS))
+    rows = docs.count()
+    # Each block asks each part of the count table once; blocks that grow with the root of the input keep requests long.
+    blocks = parts = max(1, -(-rows // (block_docs or max(BLOCK_DOCS, math.isqrt(rows // 3)))))
     kind = dict(docs.dtypes)[id_col]
     # Rows equal in id and text are spread by the part of the input they lie in.
     dealt = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x"), F.pmod(
