@@ -248,11 +248,13 @@ def feature_importance(model: PipelineModel, spark, features: Sequence[str] = AL
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str = "fraud_proxy", key: str = "transaction_id",
-                           groups: int = 4096, seed: int = 42) -> DataFrame:
+                           group_rows: int = 1000, seed: int = 42) -> DataFrame:
     """Loss of area under the curve when one column is shuffled.
 
-    The shuffle is a shift by one row inside hashed groups in hashed order, so no task orders the whole column.
+    The shuffle is a shift by one row inside hashed groups of about ``group_rows`` rows in hashed order, so no task orders
+    the whole column, however many rows there are.
     """
+    groups = max(1, df.count() // group_rows)
     base = classification_metrics(score(model, df), "score", label).select(F.col("roc_auc").alias("base_auc"))
 
     def one(i: int, name: str) -> DataFrame:
