@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardlens.llm.common import components, match_rows
+from cardlens.llm.common import components
 from cardlens.session import cut_lineage
 
 SHINGLE_WORDS = 3
@@ -190,15 +190,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One document row per component: the smallest id (rows without id last); among rows that share it, the first by
-    text hash, and one of those that are equal in id and text."""
-    keyed = docs.withColumn("_text", F.xxhash64(F.col(text_col)))
-    prints = cut_lineage(fingerprints(keyed.select(F.struct(F.col(id_col).alias("id"), F.col("_text").alias("text")).alias("_k"),
-                                                   F.col(text_col).alias("_x")), "_k", "_x"))
-    first = F.min(F.struct(F.col("_id.id").isNull().alias("none"), F.col("_id.id").alias("id"), F.col("_id.text").alias("text")))
-    kept = classes(prints, distance).groupBy("_root").agg(first.alias("_k")).select("_k.id", "_k.text")
-    matched = keyed.join(kept, keyed[id_col].eqNullSafe(kept["id"]) & (keyed["_text"] == kept["text"]), "left_semi")
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    groups = matched.groupBy(id_col, "_text").agg(
-        F.count("*").alias("_copies"), F.first(F.struct(text_col, *[f"`{c}`" for c in rest])).alias("_row"))
-    return groups.select(*[F.col(f"`{c}`") if c == id_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    """One document row per component: the smallest id (rows without id last); among rows that share it, the first by a
+    digest of id and text, and one of those that are equal in both. Texts are shuffled once."""
+    part = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("v"), c.cast("string")))
+    digest = F.md5(F.concat(part(F.col(id_col)), F.lit("\0"), part(F.col(text_col))))
+    prints = cut_lineage(fingerprints(docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest")).alias("_k"),
+                                                  F.col(text_col).alias("_x")), "_k", "_x"))
+    kept = classes(prints, distance).groupBy("_root").agg(F.min("_id").alias("_k")).select(F.col("_k.digest").alias("_digest"))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), digest.alias("_digest"))
+    return rows.join(kept, "_digest", "left_semi").groupBy("_digest").agg(F.first("_row").alias("_row")).select("_row.*")
