@@ -6,10 +6,9 @@ from cardlens.operators import quality as q
 from cardlens.operators import stats as st
 from cardlens.plans.features_queries import SERIES, mcc_series
 from cardlens.plans.registry import DIRTY, TXN, query
-from cardlens.sources.model import last_day, transactions, transactions_dirty
+from cardlens.sources.model import DIRTY_COLUMNS, last_day, transactions, transactions_dirty
 from cardlens.sources.typing import typed_transactions
 
-DIRTY_NAMES = ["transaction_code", "hpan", "merchant_name", "mcc", "amount_uzs", "hour_num", "p2p_flag", "respcode"]
 
 # Typed variant of the dirty rows, to follow DIRTY.
 TYPED = DIRTY + """, typed AS (SELECT transaction_id, transaction_code, hpan, emitent_bank, merchant, merchant_name,
@@ -30,8 +29,11 @@ def _per_column(template: str, columns: list[str]) -> str:
     return " UNION ALL ".join(template.replace("{c}", c) for c in columns)
 
 
+PROFILED = [*(c for c in DIRTY_COLUMNS if c != "hpan"), "card_no"]
+
+
 @query("profile_table", DIRTY + ", p AS (SELECT *, CAST(hpan AS BIGINT) AS card_no FROM dirty), v AS (" + _per_column(
-    "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM p GROUP BY {c}", ["merchant_name", "mcc", "respcode", "card_no"]) + """)
+    "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM p GROUP BY {c}", PROFILED) + """)
 SELECT "column", CASE WHEN "column" = 'card_no' THEN 'bigint' ELSE 'string' END AS type, sum(n) AS total,
   sum(CASE WHEN value IS NULL OR value = '' THEN n ELSE 0 END) AS nulls,
   CAST(sum(CASE WHEN value IS NULL OR value = '' THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS null_rate, count(value) AS distinct_values,
@@ -40,21 +42,21 @@ SELECT "column", CASE WHEN "column" = 'card_no' THEN 'bigint' ELSE 'string' END
   round(sum(CASE WHEN "column" = 'card_no' THEN CAST(value AS DOUBLE) * n END) / sum(CASE WHEN "column" = 'card_no' THEN n END), 4) AS avg_value
 FROM v GROUP BY 1, 2""")
 def _(spark, d):
-    df = transactions_dirty(spark, d, "merchant_name", "mcc", "respcode", "hpan").withColumn("card_no", F.col("hpan").cast("bigint")).drop("hpan")
+    df = transactions_dirty(spark, d).withColumn("card_no", F.col("hpan").cast("bigint")).drop("hpan")
     return q.profile_table(df)
 
 
 @query("null_rates", DIRTY + _per_column("SELECT '{c}' AS \"column\", count(*) FILTER ({c} = '') AS nulls, count(*) AS total, "
-                                         "CAST(count(*) FILTER ({c} = '') AS DOUBLE) / count(*) AS null_rate FROM dirty", DIRTY_NAMES))
+                                         "CAST(count(*) FILTER ({c} = '') AS DOUBLE) / count(*) AS null_rate FROM dirty", DIRTY_COLUMNS))
 def _(spark, d):
-    return q.null_rates(transactions_dirty(spark, d, *DIRTY_NAMES))
+    return q.null_rates(transactions_dirty(spark, d))
 
 
 @query("data_dictionary", DIRTY + _per_column(
     "SELECT '{c}' AS \"column\", min({c}) FILTER ({c} <> '') AS example, count(*) FILTER ({c} = '') AS nulls, "
-    "CAST(count(*) FILTER ({c} = '') AS DOUBLE) / count(*) AS null_rate, count(DISTINCT {c}) AS distinct_values FROM dirty", DIRTY_NAMES))
+    "CAST(count(*) FILTER ({c} = '') AS DOUBLE) / count(*) AS null_rate, count(DISTINCT {c}) AS distinct_values FROM dirty", DIRTY_COLUMNS))
 def _(spark, d):
-    return q.data_dictionary(transactions_dirty(spark, d, *DIRTY_NAMES))
+    return q.data_dictionary(transactions_dirty(spark, d))
 
 
 def _rule_sql(column: str, label: str, bad: str) -> str:

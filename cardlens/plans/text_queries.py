@@ -103,10 +103,11 @@ def _(spark, d):
     return t.rank_citations(_hits(spark, d), _chunks(spark, d))
 
 
-@query("expand_query", """SELECT item_id, concat_ws(' ', text, CASE WHEN contains(lower(text), 'card') THEN array_to_string(list_filter(['карта', 'карточка', 'hpan'], lambda s: NOT contains(lower(text), s)), ' ') END,
-  CASE WHEN contains(lower(text), 'risk') THEN array_to_string(list_filter(['риск', 'угроза', 'проблема'], lambda s: NOT contains(lower(text), s)), ' ') END,
+@query("expand_query", "SELECT item_id, concat_ws(' ', text, " + " ".join(
+    f"nullif(CASE WHEN contains(lower(text), '{word}') THEN array_to_string(list_filter({many}, lambda s: NOT contains(lower(text), s)), ' ') END, ''),"
+    for word, many in t.SYNONYMS.items()) + """
   CASE WHEN regexp_matches(lower(text), '\\b\\d{4}-\\d{2}-\\d{2}\\b') THEN 'дата период время' END) AS expanded
 FROM (SELECT item_id, text || CASE WHEN item_id % 2 = 0 THEN ' Card' ELSE ' 2024-01-05 risk угроза' END AS text FROM benchmark)""")
 def _(spark, d):
     asked = table(spark, d, "benchmark").select("item_id", F.concat("text", F.when(F.col("item_id") % 2 == 0, " Card").otherwise(" 2024-01-05 risk угроза")).alias("text"))
-    return t.expand_query(asked, synonyms={k: t.SYNONYMS[k] for k in ("card", "risk")}).select("item_id", "expanded")
+    return t.expand_query(asked).select("item_id", "expanded")
