@@ -213,3 +213,12 @@ def test_dates_are_read_whole(spark):
     texts = ["2024-01-05", "2024-01-05junk", "05.01.2024 10:30", "2024-01-05T07:00:00", "20240105", "2024-01-05 x"]
     days = spark.createDataFrame([(t,) for t in texts], "t string").select(sc.parse_date_multi("t").cast("string").alias("d")).collect()
     assert [r.d for r in days] == ["2024-01-05", "1970-01-01", "2024-01-05", "2024-01-05", "2024-01-05", "1970-01-01"]
+
+
+def test_leaves_sum_up_to_the_whole_history(spark):
+    rows = [(dt.date(2024, 1, 1 + day), code, f"m{m}", 1.0) for day in range(8) for code in [None, *range(30)] for m in range(3)]
+    leaves = fc.select_series(spark.createDataFrame(rows, "ds date, mcc int, merchant_key string, y double"), 0.9, 2, 20)
+    assert leaves.agg(F.sum("y")).first()[0] == len(rows)
+    assert leaves.select("mcc").distinct().count() == 21
+    made = {r.level: r.yhat for r in fc.hierarchical_forecast(leaves, 1).groupBy("level").agg(F.sum("yhat").alias("yhat")).collect()}
+    assert made["total"] == pytest.approx(len(rows) / 8) == pytest.approx(made["merchant"])
