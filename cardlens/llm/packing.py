@@ -6,6 +6,7 @@ left in its bins.
 """
 from __future__ import annotations
 
+import json
 import sys
 import types
 import zlib
@@ -23,11 +24,19 @@ CACHE = 500_000    # words, and twice as many of their letter parts, whose ids a
 ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: printable bytes stand for themselves, others follow U+00FF."""
+    plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def word_encoder(definition: str) -> Callable[[str], bytes]:
     """Text to ids (little-endian 32-bit) for a tokenizer that never joins across blanks and ignores ASCII case.
 
     Blanks and line feeds split the text exactly there, so ids are kept by word. A word that is not known is taken apart
-    once more: ASCII marks behind a final letter are tokens of their own.
+    once more: ASCII marks behind a final letter are tokens of their own. What is then all Latin letters is one piece to
+    the tokenizer's splitter, so it goes straight to the merges of a byte-level model, in lower case.
     """
     from tokenizers import Tokenizer
 
@@ -36,9 +45,15 @@ def word_encoder(definition: str) -> Callable[[str], bytes]:
     if found := getattr(kept, "by_definition", {}).get(definition):
         return found
     tokenizer = Tokenizer.from_str(definition)
+    model, letters = tokenizer.model, byte_letters()
+    straight = all(f'"{kind}"' in definition for kind in ("ByteLevel", "Lowercase", "NFC")) and json.loads(definition)["model"]["type"] == "BPE"
 
     def encode(word: str) -> bytes:
-        return np.asarray(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if straight and word.isalpha() and max(word) <= "\xff":
+            ids = [t.id for t in model.tokenize(word.lower().encode().decode("latin-1").translate(letters))]
+        else:
+            ids = tokenizer.encode(word, add_special_tokens=False).ids
+        return np.asarray(ids, "<u4").tobytes()
 
     class Known(dict):
         def __init__(self, find, limit):
@@ -57,7 +72,7 @@ def word_encoder(definition: str) -> Callable[[str], bytes]:
         marks = word[len(core):]
         if not core or not core[-1].isalpha() or "<|" in word:
             return encode(word)
-        if core.isascii():
+        if max(core) <= "\xff":
             core = core.lower()
         return parts[core] + parts[marks] if marks else parts[core]
 
@@ -158,7 +173,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``ids`` on request).
 
     The number of groups follows the row count. Sequences are gapless from 0; a sequence shorter than ``size`` is to be
-    padded at its end. An empty table gives no pieces.
+    padded at its end. NULL and empty texts have one id, the end; repeated rows are packed each; an empty table gives no pieces;
+    other columns are not looked at.
     """
     groups = max(1, -(-docs.count() // GROUP))
     packed = pack(cut(docs, tokenizer_path, id_col, text_col, size, with_ids), groups, size)
