@@ -82,7 +82,7 @@ def judge(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS, share: int =
     A document word is hit when it lies inside any occurrence of an item window; ``spans`` are the maximal hit word
     ranges [start, end). A document is contaminated when ``n_hit > 0`` and ``share * n_hit >= n_words``. NULL texts have
     no words; NULL item ids never count as items but their windows do hit. Empty tables give no hits. Repeated items
-    and repeated rows change nothing.
+    and repeated rows change nothing; other columns are not looked at.
     """
     key = ["_id", "_text"]
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))

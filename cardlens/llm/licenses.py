@@ -128,7 +128,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     ``n_base`` counts all places of base phrases, overlapping ones too; ``first_word`` and ``last_word`` are their smallest
     and largest start, NULL where there are none. The score is 1 where a base phrase stands, else the best share of a
     verified template, else 0. NULL and empty texts have no words. Repeated rows are each returned; an empty table gives
-    an empty result.
+    an empty result; other columns are not looked at.
     """
     index = Index(word_weights(docs, text_col, templates), templates)
     base = [(split_words(p), label) for p, label in BASE]

@@ -119,7 +119,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     A word scores count(n-gram) / count(its context) for the longest n-gram up to ``order`` that other rows of the table
     hold, times ``backoff`` for each step back; at the end its share of all words of other rows, with ``UNSEEN`` for words
     that none of them has. Repeated rows are rows of their own, so they count for each other. NULL and empty texts have no
-    words and score 0. An empty table gives an empty result.
+    words and score 0. An empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.count()
     # Each block asks each part of the count table once; blocks that grow with the root of the input keep requests long.

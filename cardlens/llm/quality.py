@@ -181,7 +181,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(_id, _text, held_out, score, predicted), one per document row.
 
     NULL and empty texts are scored by the statistics of an empty text. Rows without id are not held out and not learned
-    from. Without any label to learn from all scores are 0.5. An empty table gives an empty result.
+    from. Without any label to learn from all scores are 0.5. An empty table gives an empty result; other columns, language and
+    source among them, are not looked at.
     """
     stats = cut_lineage(measured(docs, id_col, text_col))
     model = fit(stats, labels, id_col, label_col)

@@ -177,7 +177,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document row: id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
     ``spans`` lists kind:start:end of whole matches in code points, end exclusive, by start, then kind as listed. NULL
-    and empty texts give no spans; repeated rows are judged alike and each returned; an empty table gives an empty result.
+    and empty texts give no spans; repeated rows are judged alike and each returned; an empty table gives an empty result; other
+    columns are not looked at.
     """
     scanned = cut_lineage(scan(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")), "_x").drop("_x"))
     found = accept(scanned, discoveries(scanned))

@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document row: id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
     Texts that are NULL, empty or wordless have fingerprint zero and are linked like any other. Equal fingerprints are
-    linked, so repeated rows meet. Rows without id do not set a component's id; a component of such rows has none.
+    linked, so repeated rows meet. Rows without id do not set a component's id; a component of such rows has none. An empty
+    table gives an empty result; other columns, whatever their names, are not looked at.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
     found = classes(prints, distance)

@@ -73,7 +73,7 @@ def top_k(vectors: DataFrame, query_set: Column, k: int = K, id_col: str = "vec_
 
     Rows without id take no part, nor do vectors that are NULL or hold NULL or non-finite components. Rows equal in id and
     vector count once; rows that share an id are not candidates of each other. Vectors meet only those of their own length.
-    Scores are whole numbers, kept within 64 bits. Every query meets every block, whole; nothing is left out by sampling.
+    An empty table gives an empty result; other columns are not looked at. Scores are whole numbers, kept within 64 bits. Every query meets every block, whole; nothing is left out by sampling.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), query_set.alias("asks")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull()).distinct()
