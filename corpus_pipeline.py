@@ -51,10 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``. Each result is written as Parquet in the shared folder and read again."""
+    """Apply the stages to ``documents``. Each result is written as Parquet in the shared folder and read again.
+
+    What a stage has read is deleted once its own result is written; the last result stays for the caller.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            used = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            used.getFileSystem(spark._jsc.hadoopConfiguration()).delete(used, True)
     return docs
