@@ -99,8 +99,10 @@ def _repeated_anchors(anchors: DataFrame) -> DataFrame:
     """(_id, _text, _shared): per document its anchors that occur in other documents too, with a number of salts each."""
     key = ["_id", "_text"]
     each = anchors.select(*key, F.explode_outer("_anchors").alias("a")).where(F.col("a").isNotNull()).select(*key, "a.*")
-    totals = each.groupBy("anchor").agg(F.sum("windows").alias("n"), F.min(_order()).alias("lo"), F.max(_order()).alias("hi"))
-    shared = totals.where(F.col("lo") != F.col("hi")).select("anchor", F.ceil(F.col("n") / SHARE_ROWS).cast("int").alias("salts"))
+    totals = each.groupBy("anchor").agg(F.sum("windows").alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi"),
+                                        F.bool_or(F.col("_id").isNull()).alias("none"))
+    several = (F.col("lo") != F.col("hi")) | (F.col("none") & F.col("lo").isNotNull())
+    shared = totals.where(several).select("anchor", F.ceil(F.col("n") / SHARE_ROWS).cast("int").alias("salts"))
     return each.drop("windows").join(shared, "anchor").groupBy(*key).agg(F.collect_set(F.struct("anchor", "salts")).alias("_shared"))
 
 
