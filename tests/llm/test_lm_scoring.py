@@ -59,3 +59,23 @@ def test_packing():
         assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all()
     counts = np.array([1, 255, 256, 70000, 1 << 40])
     assert (lm.unpack_counts(lm.pack_counts(counts)) == counts).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_segments_of_long_texts(spark, order):
+    """Blocks and segments of some tens of bytes give the same scores, for repeated long rows too."""
+    r = random.Random(order)
+    texts = [" ".join(r.choices("a b c dd é f g hhh Ä i. j".split(), k=r.randint(0, 90))) for _ in range(30)]
+    texts += [None, "", " ., ", "日本語" * 40, texts[0] * 2, texts[0] * 2, "a b " * 300]
+    docs = spark.createDataFrame([(7 if i > 33 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    rows = lm.score(docs, order=order, block_bytes=600, segment=40).collect()
+    want = sorted((7 if i > 33 else i, n, round(s, 6)) for i, (n, s) in enumerate(slow(texts, order)))
+    assert [x[:2] for x in want] == [x[:2] for x in sorted((x["doc_id"], x["n_words"], x["log_score"]) for x in rows)]
+    assert [x[2] for x in want] == pytest.approx([x[2] for x in sorted((x["doc_id"], x["n_words"], round(x["log_score"], 6)) for x in rows)], abs=1e-5)
+
+
+def test_rows_are_bounded_by_text(spark):
+    """A few long texts are dealt as many short segments, which lose nothing."""
+    pieces = lm.segments(spark.createDataFrame([(i, "ab cd " * 5000) for i in range(20)], "doc_id long, text string"), "doc_id", "text", 2, 4000)
+    lengths = [len(x["_x"]) for x in pieces.collect()]
+    assert sum(lengths) == 20 * 30000 and max(lengths) <= 4010 and len(lengths) >= 20 * 7
