@@ -155,3 +155,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardlens.llm.tool_calls import link
 
     return link(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_divergence", r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT lang, source, r, w AS term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS w FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM c GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT g.lang, g.source, coalesce(n.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) g
+      LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY lang) n USING (lang)),
+o AS (SELECT lang, source, term, sum(n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+f AS (SELECT v.lang, v.source, k.term, v.v, coalesce(o.n, 0) AS n
+      FROM v JOIN k ON k.lang = v.lang LEFT JOIN o ON o.lang = v.lang AND o.source = v.source AND o.term = k.term),
+t AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own, sum(n) OVER (PARTITION BY lang, term) AS ln, sum(n) OVER (PARTITION BY lang) AS lw FROM f),
+p AS (SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * CAST(n + 1 AS HUGEINT)) // CAST(own + v AS HUGEINT) AS BIGINT) AS p,
+        CAST(1 + (CAST(1000000000 AS HUGEINT) * CAST(ln + 1 AS HUGEINT)) // CAST(lw + v AS HUGEINT) AS BIGINT) AS q FROM t),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rest AS (SELECT a.lang, a.source, b.source AS item FROM v a JOIN v b ON a.lang = b.lang AND a.source <> b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM rest LEFT JOIN pair USING (lang, source, item)
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+WHERE part = 'pair' OR rank <= 200""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardlens.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
