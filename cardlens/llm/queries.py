@@ -192,10 +192,10 @@ f AS (SELECT r, p FROM w SEMI JOIN (SELECT h FROM w GROUP BY h HAVING count(*) >
 g AS (SELECT r, p, sum(CASE WHEN p > q + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g
       FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM f)),
 s AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY r, g),
-c AS (SELECT r, a AS at, substr(x, 2 * coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1,
+c AS (SELECT r, a AS o, substr(x, 2 * coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1,
                2 * (a - coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0))) AS part FROM s JOIN d USING (r)
       UNION ALL SELECT r, len(x), substr(x, 2 * coalesce(e, 0) + 1) FROM d LEFT JOIN (SELECT r, max(b) AS e FROM s GROUP BY r) USING (r)),
-k AS (SELECT r, sha256(unhex(string_agg(part, '' ORDER BY at))) AS kept_sha256 FROM c GROUP BY r),
+k AS (SELECT r, sha256(unhex(string_agg(part, '' ORDER BY o))) AS kept_sha256 FROM c GROUP BY r),
 n AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
 SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
 FROM d JOIN k USING (r) LEFT JOIN n USING (r)""")
