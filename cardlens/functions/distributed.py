@@ -6,7 +6,7 @@ bounded pieces: value bins, time slices or range partitions.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cardlens.session import cut_lineage
 
 BINS_PER_OCTAVE = 512
+RADIX_BITS = (20, 35, 50)  # leading bits by which values are counted, round by round
 SLICE_ROWS = 200_000  # rows of one key that a window orders at once
 
 
@@ -45,42 +46,61 @@ def value_bin(c: Column) -> Column:
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * octaves)
 
 
+def ordered_bits(c: Column) -> Column:
+    """The bits of a double as a whole number that is ordered as the doubles are; both zeros are 0, NaN comes last."""
+    v = c.cast("double")
+    size = F.abs(v)
+    near = F.floor(F.log2(size))  # may be one off beside a power of two
+    near = near - (size < F.pow(F.lit(2.0), near)).cast("long") + (size >= F.pow(F.lit(2.0), near + 1)).cast("long")
+    normal = (near + 1023) * F.lit(1 << 52) + ((size / F.pow(F.lit(2.0), near) - 1) * float(1 << 52)).cast("long")
+    tiny = (size / 5e-324).cast("long")
+    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.2250738585072014e-308, tiny).otherwise(normal)
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -bits).otherwise(bits)
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact interpolated percentiles per group: (keys, prob, value).
+    """Exact interpolated percentiles per group: (keys, prob, value), by radix selection.
 
-    Values are counted first; bin totals locate the wanted ranks; only the bins that hold one are then ordered.
+    Each round counts the values by some more leading bits and keeps those whose bits hold a wanted rank. After the last
+    round a group of equal leading bits has at most 2^14 different values, so ordering them is bounded however dense the
+    values are. Without keys nothing but counts is shuffled; with keys values are counted per group first.
     """
     keys = list(keys)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-        .withColumn("_bin", value_bin(F.col("_v")))
-    )
-    per_key = W.partitionBy(*keys)
-    before = F.sum("_in").over(per_key.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
-    bins = (
-        counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in"))
-        .withColumns({"_before": F.coalesce(before, F.lit(0)), "_total": F.sum("_in").over(per_key)})
-    )
-    targets = (
-        bins.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_pos", F.col("prob") * (F.col("_total") - 1))
-        .withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
-        .where((F.col("_before") <= F.col("_hi")) & (F.col("_lo") < F.col("_before") + F.col("_in")))
-        .select(*keys, "_bin", "prob", "_pos", "_lo", "_hi", "_before")
-    )
-    inside = W.partitionBy(*keys, "prob", "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    placed = (
-        join_null_safe(counted, targets, [*keys, "_bin"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    holds = lambda rank: (F.col("_start") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-    ends = placed.groupBy(*keys, "prob", "_pos", "_lo").agg(
-        F.max(F.when(holds("_lo"), F.col("_v"))).alias("_vlo"), F.max(F.when(holds("_hi"), F.col("_v"))).alias("_vhi"))
-    return ends.select(
-        *keys, "prob",
-        (F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n")) if keys else values.withColumn("_n", F.lit(1).cast("long"))
+    rows = rows.withColumn("_bits", ordered_bits(F.col("_v")))
+    held = (lambda left, right, on: join_null_safe(left, right, [*keys, on])) if keys else (
+        lambda left, right, on: left.join(F.broadcast(right), on))  # a row per probability and side
+    found = None
+    for length in RADIX_BITS:
+        prefix = f"_p{length}"
+        rows = rows.withColumn(prefix, F.shiftright("_bits", 64 - length))
+        counted = rows.groupBy(*keys, *([] if found is None else [last]), prefix).agg(F.sum("_n").alias("_in"))
+        group = W.partitionBy(*keys, *([] if found is None else [last]))
+        placed = counted.withColumn("_first", F.coalesce(F.sum("_in").over(group.orderBy(prefix).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        if found is None:
+            ranks = (
+                placed.withColumn("_all", F.sum("_in").over(group))
+                .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+                .withColumn("_pos", F.col("prob") * (F.col("_all") - 1))
+                .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+            )
+            before = F.col("_first")
+        else:
+            ranks = held(placed, found, last)
+            before = F.col("_before") + F.col("_first")
+        found = ranks.where((before <= F.col("_rank")) & (F.col("_rank") < before + F.col("_in"))).select(
+            *keys, prefix, "prob", "_pos", "_rank", before.alias("_before"))
+        rows = held(rows, found.select(*keys, prefix).distinct(), prefix)
+        last = prefix
+    each = rows.groupBy(*keys, last, "_v").agg(F.sum("_n").alias("_n"))
+    inside = W.partitionBy(*keys, last).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ends = held(each.withColumn("_end", F.sum("_n").over(inside)), found, last)
+    start = F.col("_before") + F.col("_end") - F.col("_n")
+    hit = ends.where((start <= F.col("_rank")) & (F.col("_rank") < start + F.col("_n")))
+    low, high = F.min("_v"), F.max("_v")
+    return hit.groupBy(*keys, "prob", "_pos").agg(
+        (low + (F.col("_pos") - F.floor("_pos")) * (high - low)).alias("value")).select(*keys, "prob", "value")
 
 
 def wide_percentiles(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float]) -> DataFrame:
@@ -133,6 +153,54 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", tota
     )
 
 
+def cut_rows(df: DataFrame, order: Sequence[str], ranks: Callable[[int], Sequence[int]], small: int = SLICE_ROWS, splits: int = 64) -> DataFrame:
+    """The rows at some 1-based ranks of the order over these columns, as one row of structs ``cut0``, ``cut1``, …
+
+    ``ranks`` gives the wanted ranks from the row count. Selection instead of a sort: rows of the range that holds a rank
+    are counted between splitters drawn from that range, and the range shrinks to one gap, round by round, until it has at
+    most ``small`` rows. A splitter that holds the rank ends it at once, so equal rows do no harm. The jobs run here;
+    ``splits`` rows and their counts come to the driver per round, and of the frame only the columns of the order are kept
+    meanwhile. An empty frame gives NULLs.
+    """
+    spark = df.sparkSession
+    slim = df.select(*order).persist()
+    row = F.struct(*order)
+
+    def as_scalar(rows: list) -> Column:
+        listed = spark.createDataFrame(rows, slim.schema).agg(F.array_sort(F.collect_list(row)).alias("a"))
+        return listed.scalar()
+
+    def found(rank: int):
+        low = high = None   # the rank lies strictly between these rows
+        before, size = 0, count
+        while True:
+            inside = slim
+            if low is not None:
+                inside = inside.where(row > F.get(as_scalar([low]), 0))
+            if high is not None:
+                inside = inside.where(row < F.get(as_scalar([high]), 0))
+            if size <= small:
+                numbered = inside.withColumn("_r", F.row_number().over(W.orderBy(*order)))
+                return numbered.where(F.col("_r") == rank - before).drop("_r").first()
+            drawn = inside.orderBy(F.xxhash64(*order), *order).limit(splits).distinct().orderBy(*order).collect()
+            place = F.size(F.filter("_marks", lambda m: m < row)) + F.size(F.filter("_marks", lambda m: m <= row))
+            marked = inside.withColumn("_marks", as_scalar(drawn))
+            for at, n in sorted(marked.groupBy(place.alias("at")).count().collect()):
+                if rank <= before + n:
+                    break
+                before += n
+            if at % 2:
+                return drawn[at // 2]
+            low, high, size = drawn[at // 2 - 1] if at else low, drawn[at // 2] if at // 2 < len(drawn) else high, n
+
+    count = slim.count()
+    cuts = [found(r) for r in ranks(count)] if count else []
+    slim.unpersist()
+    if not count:
+        return spark.range(1).select(*[F.lit(None).alias(f"cut{i}") for i, _ in enumerate(ranks(0))])
+    return spark.range(1).select(*[F.get(as_scalar([c]), 0).alias(f"cut{i}") for i, c in enumerate(cuts)])
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows of each group. The rank filter is applied before the shuffle too (window group limit)."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import (SLICE_ROWS, global_rank, heaviest_value, join_null_safe, own_rows, percentiles,
+from cardlens.functions.distributed import (SLICE_ROWS, cut_rows, heaviest_value, join_null_safe, own_rows, percentiles,
                                             time_slices, top_per_key, with_scalars)
 from cardlens.functions.scalars import percent, ratio
 
@@ -135,15 +135,16 @@ def cumulative_share(df: DataFrame, group: str, item: str, volume: str, coverage
 def quartile_score(df: DataFrame, value: str, name: str, mode: str = "value", tie: str = "hpan") -> DataFrame:
     """Quartile 1–4 by interpolated edges, right-closed.
 
-    ``value`` cuts the values; repeated edges fall back to four equal widths. ``rank`` cuts first-come ranks, from a
-    distributed sort over (value, tie).
+    ``value`` cuts the values; repeated edges fall back to four equal widths. ``rank`` cuts first-come ranks over (value,
+    tie): only the three rows at the edges are looked for, and each row is compared with them.
     """
     if mode == "rank":
-        ranked = global_rank(df, [F.col(value), F.col(tie)], "_rank", "_n")
-        edge = lambda q: 1 + (F.col("_n") - 1) * q
-        r = F.col("_rank")
-        score = F.when(F.col("_n") == 1, 2).when(r <= edge(0.25), 1).when(r <= edge(0.5), 2).when(r <= edge(0.75), 3)
-        return ranked.withColumn(name, score.otherwise(4)).drop("_rank", "_n")
+        cuts = cut_rows(df, [value, tie], lambda n: [1 + (n - 1) * i // 4 for i in (1, 2, 3)] + [max(n, 1)])
+        row = F.struct(value, tie)
+        alone = F.get(F.col("_cuts"), 0) == F.get(F.col("_cuts"), 3)
+        below = [row <= F.get(F.col("_cuts"), i) for i in range(3)]
+        score = F.when(alone, 2).when(below[0], 1).when(below[1], 2).when(below[2], 3).otherwise(4)
+        return df.withColumn("_cuts", cuts.select(F.array(*cuts.columns)).scalar()).withColumn(name, score).drop("_cuts")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     found = percentiles(df, [], value, probs)
     e = [F.col("_edges")[f"e{i}"] for i in range(5)]
