@@ -28,6 +28,7 @@ from cardlens.llm.packing import byte_letters
 from cardlens.session import checkpoint_dir
 
 UNITS = 300_000          # units of text whose ids a worker process keeps
+TOGETHER = 2_000         # new units that are tokenised as one text
 CHUNK_BYTES = 1 << 20    # text that is aligned together
 SENT_PAIRS = 2_000_000   # most frequent id pairs that are sent to all executors, 24 bytes each
 BLANK = "▁"         # fixed value: what stands for a space in the pieces of the second tokenizer
@@ -55,6 +56,7 @@ class Pair:
         self.first_bytes = [bytes(plain[c] for c in t) if all(c in plain for c in t) else t.encode() for t in names]
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.second_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.first_lengths, self.second_lengths = (np.array([len(x) for x in table], np.int64) for table in (self.first_bytes, self.second_bytes))
         rules = json.loads(definition)
         split = rules.get("pre_tokenizer") or {}
         self.cut = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not rules.get("normalizer")
@@ -70,14 +72,35 @@ class Pair:
         return text.split(" ")
 
     def learn(self, units: set[str]) -> None:
+        """Ids of units not met yet. Units that end visibly are read side by side as one text and told apart by their bytes."""
         if len(self.known) > UNITS:
             self.known.clear()
         new = [u for u in units if u not in self.known]
-        firsts = self.first.encode_batch_fast([" " + u for u in new], add_special_tokens=False) if new else []
-        for unit, a, b in zip(new, firsts, self.second.encode(new, num_threads=1) if new else []):
-            a, b, whole = a.ids, b if unit else [self.second.piece_to_id(BLANK)], (" " + unit).encode()
-            good = b"".join(map(self.first_bytes.__getitem__, a)) == whole == b"".join(map(self.second_bytes.__getitem__, b))
-            self.known[unit] = (np.asarray(a, np.int32).tobytes(), np.asarray(b, np.int32).tobytes()) if good else None
+        joined = [u for u in new if u and not u[-1].isspace() and BLANK not in u] if self.cut else []
+        for at in range(0, len(joined), TOGETHER):
+            self._learn_joined(joined[at:at + TOGETHER])
+        for unit in new:
+            if unit not in self.known:
+                a = self.first.encode(" " + unit, add_special_tokens=False).ids
+                b, whole = self.second.encode(unit) if unit else [self.second.piece_to_id(BLANK)], (" " + unit).encode()
+                good = b"".join(map(self.first_bytes.__getitem__, a)) == whole == b"".join(map(self.second_bytes.__getitem__, b))
+                self.known[unit] = (np.asarray(a, np.int32).tobytes(), np.asarray(b, np.int32).tobytes()) if good else None
+
+    def _learn_joined(self, units: list[str]) -> None:
+        text = " ".join(units)
+        whole = (" " + text).encode()
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        parts = []
+        for ids, table, lengths in ((self.first.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.first_bytes, self.first_lengths),
+                                    (self.second.encode(text), self.second_bytes, self.second_lengths)):
+            ids = np.asarray(ids, np.int32)
+            token_ends = np.cumsum(lengths[ids])
+            last = np.searchsorted(token_ends, ends)
+            if b"".join(map(table.__getitem__, ids.tolist())) != whole or (token_ends[last] != ends).any():
+                return  # each is read alone
+            raw, cuts = ids.tobytes(), (4 * np.r_[0, last + 1]).tolist()
+            parts.append([raw[x:y] for x, y in zip(cuts[:-1], cuts[1:])])
+        self.known.update(zip(units, zip(*parts)))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(which texts have tokens, ids and their numbers per such text for the first, the same for the second)."""
@@ -164,17 +187,17 @@ def links(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np
 
 def digests(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, tokens: np.ndarray,
             names: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    """Per document the SHA-256 of its groups written as ``a1,a2|b1;a3|b2,b3``. ``names`` hold each id with a comma."""
+    """Per document the SHA-256 of its groups written as ``a1,a2|b1;a3|b2,b3``. ``names`` hold each id with the mark that
+    stands within a group, and behind those each id with the mark at the end of its side."""
     number = int(group_a[-1]) + 1 if len(group_a) else 0
     n_a, n_b = np.bincount(group_a, minlength=number), np.bincount(group_b, minlength=number)
     written = np.empty(len(ids_a) + len(ids_b), object)
     place_a = np.arange(len(ids_a)) + (np.cumsum(n_b) - n_b)[group_a]
     place_b = np.arange(len(ids_b)) + np.cumsum(n_a)[group_b]
-    written[place_a], written[place_b] = names[0][ids_a], names[1][ids_b]
-    last_a = np.cumsum(n_a) - 1
-    last_b = np.cumsum(n_b) - 1
-    for at, ids, mark in ((place_a[last_a], ids_a[last_a], "|"), (place_b[last_b], ids_b[last_b], ";")):
-        written[at] = [f"{i}{mark}" for i in ids.tolist()]
+    for place, ids, n, table in ((place_a, ids_a, n_a, names[0]), (place_b, ids_b, n_b, names[1])):
+        which = ids.astype(np.int64)
+        which[np.cumsum(n) - 1] += len(table) // 2
+        written[place] = table[which]
     ends = np.cumsum(tokens)
     parts = written.tolist()
     return [hashlib.sha256("".join(parts[e - n:e])[:-1].encode()).hexdigest() for e, n in zip(ends.tolist(), tokens.tolist())]
@@ -190,8 +213,8 @@ def align(docs: DataFrame, definition: str, model: bytes, id_col: str = "doc_id"
         import pyarrow.compute as pc
 
         pair = pair_of(definition, model)
-        lengths = [np.array([len(x) for x in table], np.int64) for table in (pair.first_bytes, pair.second_bytes)]
-        names = tuple(np.array([f"{i}," for i in range(len(t))], object) for t in (pair.first_bytes, pair.second_bytes))
+        lengths = pair.first_lengths, pair.second_lengths
+        names = tuple(np.array([f"{i}{mark}" for mark in (",", end) for i in range(len(t))], object) for t, end in zip(lengths, "|;"))
         width = len(pair.second_bytes)
 
         def part(rows: pa.RecordBatch) -> pa.RecordBatch:
