@@ -62,32 +62,45 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(F.struct(value.alias("v"))), lambda s: use(s["v"]))[0]
+
+
+def _in_blocks(items: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` items; none for an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+
+
+def _running(values: Column, step) -> Column:
+    """What ``step`` has made of all values before each one, from 0; for few values."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(step(acc["at"], v).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")))["all"]
+
+
 def _located(text: str, matches: str, pattern: str) -> Column:
     """array<struct<start,end>> of the matches in code points.
 
-    Running sums are folded in blocks of ``BLOCK`` matches and the blocks moved by their offsets, so a text with very
-    many matches stays cheap.
+    Running sums are folded in blocks of ``BLOCK`` matches and the blocks moved by the lengths before them, so the work is
+    linear in the matches.
     """
     gaps = F.split(F.col(text), pattern, -1)
     pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), F.col(matches),
                        lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("len")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def within(acc, x):
         start = acc["at"] + x["gap"]
-        return F.struct((start + x["len"]).alias("at"), F.concat(acc["spans"], F.array(F.struct(
-            start.alias("start"), (start + x["len"]).alias("end")))).alias("spans"))
-
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")),
-                         lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, BLOCK), empty, within))
+        return F.struct((start + x["len"]).alias("at"), F.array_append(acc["spans"], F.struct(
+            start.alias("start"), (start + x["len"]).alias("end"))).alias("spans"))
 
-    def across(acc, block):
-        moved = F.transform(block["spans"], lambda s: F.struct(
-            (s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
-        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+    def moved(blocks: Column) -> Column:
+        offsets = _running(F.transform(blocks, lambda b: b["at"]), lambda a, x: a + x)
+        return F.flatten(F.zip_with(blocks, offsets, lambda b, at: F.transform(b["spans"], lambda s: F.struct(
+            (s["start"] + at).alias("start"), (s["end"] + at).alias("end")))))
 
-    located = F.aggregate(blocks, empty, across)["spans"]
-    return F.when(F.size(matches) > 0, located).otherwise(F.array().cast(SPANS))
+    folded = _once(pairs, lambda p: F.transform(_in_blocks(p), lambda block: F.aggregate(block, empty, within)))
+    return F.when(F.size(matches) > 0, _once(folded, moved)).otherwise(F.array().cast(SPANS))
 
 
 def upper_tail(z: Column) -> Column:
@@ -222,16 +235,29 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> D
     Rows without spans, NULL texts among them, keep their text.
     """
     limits = discoveries(scan(docs.select(F.col(text_col).alias("_x")), "_x"))
-    found = accept(scan(docs, text_col), limits)
-    text = F.col(text_col)
-
-    def step(acc, s):
-        """Text so far, and up to where the original has been used."""
-        begun = s["start"] >= acc["at"]
-        between = F.when(begun, F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
-        return F.struct(F.concat(acc["out"], between).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    folded = F.aggregate("_all", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    rebuilt = F.transform(F.array(folded), lambda f: F.concat(f["out"], text.substr(f["at"] + 1, F.char_length(text))))[0]
-    return found.withColumn("_new", F.when(F.size("_all") > 0, rebuilt).otherwise(text)).select(
-        *[F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_x"))
+    found = accept(scan(rows, "_x"), limits)
+    text = F.col("_x")
+
+    def block(spans: Column, begin: Column, end: Column) -> Column:
+        """Text from ``begin`` to ``end`` with its spans masked; cut from the whole text once."""
+        def fold(local: Column) -> Column:
+            def step(acc, s):
+                between = F.concat(local.substr(acc["at"] - begin + 1, s["start"] - acc["at"]), F.lit(mask))
+                return F.struct(F.concat(acc["out"], F.when(s["start"] >= acc["at"], between).otherwise("")).alias("out"),
+                                F.greatest(acc["at"], s["end"]).alias("at"))
+
+            return F.aggregate(spans, F.struct(F.lit("").alias("out"), begin.alias("at")), step)["out"]
+
+        return _once(text.substr(begin + 1, end - begin), fold)
+
+    def rebuilt(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+        begins = _running(ends, lambda a, x: F.greatest(a, x))
+        edges = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("begin"), F.greatest(a, b).alias("end")))
+        joined = F.array_join(F.zip_with(blocks, edges, lambda b, e: block(b, e["begin"], e["end"])), "")
+        return F.concat(joined, text.substr(F.array_max(ends) + 1, F.char_length(text)))
+
+    new = F.when(F.size("_all") > 0, _once(_in_blocks(F.col("_all")), rebuilt)).otherwise(text)
+    return found.withColumn("_new", new).select(
+        *[F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])

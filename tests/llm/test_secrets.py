@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,10 +75,13 @@ def test_upper_tail(spark):
 
 
 def test_mask(spark):
-    docs = spark.createDataFrame([(i, t, "en", i) for i, t in enumerate(EDGE)], "doc_id long, text string, lang string, _all int")
+    names = ["_all", "_base", "_new", "_tokens", "_t", "_m0", "_s1", "_v0", "_row", "_x", "_limits", "v", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en", *range(i, i + len(names))) for i, t in enumerate(EDGE)],
+                                 "doc_id long, text string, lang string, " + ", ".join(f"`{n}` int" for n in names))
     out = secrets.mask_secrets(docs)
-    assert out.columns == docs.columns
+    assert out.dtypes == docs.dtypes
     for row in out.collect():
+        assert tuple(row)[2:] == ("en", *range(row["doc_id"], row["doc_id"] + len(names)))
         text = EDGE[row["doc_id"]]
         spans, cut, at = [], "", 0
         for s in filter(None, expected(text).split(",")):
@@ -91,6 +95,21 @@ def test_mask(spark):
         assert expected(row["text"]) == ""
 
 
+def test_time_is_linear_in_the_matches(spark):
+    """Many matches in one text, found and masked; the work of one round is left out of the comparison."""
+    took = {}
+    for n in (1_000, 25_000, 100_000):
+        text = " ".join(f"token=abcdefgh{i:06d}" for i in range(n))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row, masked = secrets.find_secrets(frame).first(), secrets.mask_secrets(frame).first()["text"]
+        took[n] = time.perf_counter() - began
+        assert row["n_assign"] == n and masked == " ".join([secrets.MASK] * n)
+        assert row["spans"].endswith(f"{len(text) - 20}:{len(text)}")
+    print(took)
+    assert took[100_000] < 8 * max(took[25_000], 4)
+
+
 ALPHABETS = {"base64url": string.ascii_letters + string.digits + "-_", "base36": string.ascii_lowercase + string.digits,
              "base32": string.ascii_uppercase + "234567", "hex": "0123456789abcdef"}
 
