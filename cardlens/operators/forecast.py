@@ -179,8 +179,11 @@ def ljung_box(series: DataFrame, lags: int = 10, value: str = "y", keys: Sequenc
     return tested.withColumn("p_value", chi2_tail(F.col("statistic"), lags)).withColumn("autocorrelated", (F.col("p_value") < 0.05).cast("int"))
 
 
-def diagnose_series(series: DataFrame, keys: Sequence[str] = KEYS, k: float = 3.0) -> DataFrame:
-    base = series.groupBy(*keys).agg(F.count("*").alias("length"), F.count_if(F.col("y").isNull()).alias("missing"), F.avg("y").alias("mean"),
+def diagnose_series(series: DataFrame, keys: Sequence[str] = KEYS, k: float = 3.0, places: int | None = None) -> DataFrame:
+    """Length, gaps, level, spread, strengths and anomalies of each series. With ``places``, the decimals that the values have,
+    the mean comes from an exact sum, which no order of rows can change."""
+    mean = F.avg("y") if places is None else F.sum(F.col("y").cast(f"decimal(30,{places})")).cast("double") / F.nullif(F.count("y"), F.lit(0))
+    base = series.groupBy(*keys).agg(F.count("*").alias("length"), F.count_if(F.col("y").isNull()).alias("missing"), mean.alias("mean"),
                                      F.stddev_samp("y").alias("std"), F.try_divide(F.stddev_samp("y"), F.avg("y")).alias("cv"))
     odd = iqr_anomalies(series, k, keys).select(*keys, "anomaly_rate", "anomaly_dates")
     return join_null_safe(join_null_safe(base, strengths(decompose(series, keys=keys), keys), keys, "left"), odd, keys, "left")

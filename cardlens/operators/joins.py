@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardlens.functions.distributed import heaviest_value, with_scalars
+from cardlens.functions.distributed import heaviest_value, join_null_safe, with_scalars
 from cardlens.functions.scalars import clean_mcc, is_missing, merchant_key
 
 CARD_GRAPH = ["degree_merchants_90d", "txn_count_90d", "avg_amount_90d", "max_amount_90d",
@@ -31,18 +31,18 @@ def attach_graph_features(txn: DataFrame, card_graph: DataFrame, merchant_graph:
     cards = card_graph.select("hpan", *[F.col(c).alias(f"card_{c}") for c in CARD_GRAPH])
     merchants = merchant_graph.select("merchant_key", *[F.col(c).alias(f"merch_{c}") for c in MERCHANT_GRAPH])
     keyed = txn if "merchant_key" in txn.columns else txn.withColumn("merchant_key", merchant_key(txn))
-    joined = keyed.join(cards, "hpan", "left").join(merchants, "merchant_key", "left")
+    joined = join_null_safe(join_null_safe(keyed, cards, ["hpan"], "left"), merchants, ["merchant_key"], "left")
     return _zero(joined, [f"card_{c}" for c in CARD_GRAPH] + [f"merch_{c}" for c in MERCHANT_GRAPH])
 
 
 def join_card_features(txn: DataFrame, features: DataFrame) -> DataFrame:
-    return _zero(txn.join(features.select("hpan", *CARD_FEATURES), "hpan", "left"), CARD_FEATURES)
+    return _zero(join_null_safe(txn, features.select("hpan", *CARD_FEATURES), ["hpan"], "left"), CARD_FEATURES)
 
 
 def txn_left_merchant_risk(edges: DataFrame, merchant_graph: DataFrame) -> DataFrame:
     """Risk of the merchant on each (card, merchant) edge; unknown merchants count as 0."""
     risk = merchant_graph.select("merchant_key", F.col("fraud_ratio_90d").alias("merchant_risk"))
-    return _zero(edges.join(risk, "merchant_key", "left"), ["merchant_risk"])
+    return _zero(join_null_safe(edges, risk, ["merchant_key"], "left"), ["merchant_risk"])
 
 
 def mcc_map(baseline: DataFrame, key: str) -> DataFrame:
@@ -69,7 +69,8 @@ def cross_scalars(df: DataFrame, **aggregates: Column) -> DataFrame:
 
 
 def align_on_date(holdout: DataFrame, forecast: DataFrame, keys=("series_key",)) -> DataFrame:
-    return holdout.select(*keys, "ds", "y").join(forecast, [*keys, "ds"])
+    """Observed and forecast values of the same series and day; a NULL key is a series too."""
+    return join_null_safe(holdout.select(*keys, "ds", "y"), forecast, [*keys, "ds"])
 
 
 def total_minus_selected(total: DataFrame, selected: DataFrame) -> DataFrame:

@@ -393,6 +393,21 @@ def _(spark, d):
                                    f.card_graph_features(e, merchants), merchants).drop("hpan", "merchant", "merchant_key")
 
 
+@query("attach_graph_features_null_card", EDGES + """, n AS (SELECT *, CASE WHEN CAST(hpan AS BIGINT) % 10 <> 0 THEN hpan END AS card FROM txn),
+g AS (SELECT CASE WHEN CAST(hpan AS BIGINT) % 10 <> 0 THEN hpan END AS card, sum(txn_count_90d) AS txn_count_90d, max(max_amount_90d) AS max_amount_90d FROM cg GROUP BY 1)
+SELECT transaction_id, coalesce(CAST(g.txn_count_90d AS DOUBLE), 0) AS card_txn_count_90d, coalesce(CAST(g.max_amount_90d AS DOUBLE), 0) AS card_max_amount_90d
+FROM n LEFT JOIN g ON n.card IS NOT DISTINCT FROM g.card""")
+def _(spark, d):
+    e = edges(spark, d)
+    merchants = f.merchant_graph_features(e)
+    card = F.when(F.col("hpan").cast("bigint") % 10 != 0, F.col("hpan"))
+    graph = f.card_graph_features(e, merchants).groupBy(card.alias("hpan")).agg(
+        F.sum("txn_count_90d").alias("txn_count_90d"), F.max("max_amount_90d").alias("max_amount_90d"),
+        *[F.lit(0.0).alias(c) for c in f.CARD_GRAPH if c not in ("txn_count_90d", "max_amount_90d")])
+    txn = transactions(spark, d, "transaction_id", "hpan", "merchant").withColumn("hpan", card)
+    return j.attach_graph_features(txn, graph, merchants).select("transaction_id", "card_txn_count_90d", "card_max_amount_90d")
+
+
 @query("join_card_features", FEAT + f"""SELECT transaction_id,
   {', '.join(f'coalesce(CAST(feat.{c} AS DOUBLE), 0) AS {c}' for c in f.CARD_FEATURES)} FROM txn LEFT JOIN feat USING (hpan)""")
 def _(spark, d):

@@ -100,6 +100,17 @@ def _(spark, d):
     return _rounded(j.align_on_date(back.where("back <= 14"), forecast).select("series_key", "ds", "y", "yhat"), "yhat")
 
 
+@query("align_on_date_null_key", NUMBERED + """, k AS (SELECT nullif(series_key, 5411) AS series_key, ds, y, back FROM num), lv AS (SELECT DISTINCT series_key, max(ds) OVER (PARTITION BY series_key) AS last, avg(y) OVER (PARTITION BY series_key) AS v FROM k WHERE back BETWEEN 15 AND 21)
+SELECT k.series_key, CAST(k.ds AS VARCHAR) AS ds, y, round(v, 4) AS yhat FROM k JOIN lv ON k.series_key IS NOT DISTINCT FROM lv.series_key AND k.ds - lv.last BETWEEN 1 AND 30 AND back <= 14""")
+def _(spark, d):
+    from pyspark.sql import Window as W
+
+    series = mcc_series(spark, d).withColumn("series_key", F.expr("nullif(series_key, 5411)"))
+    back = series.withColumn("back", F.row_number().over(W.partitionBy("series_key").orderBy(F.col("ds").desc())))
+    forecast = fc.ma7_forecast(back.where("back > 14").drop("back"), 30)
+    return _rounded(j.align_on_date(back.where("back <= 14"), forecast).select("series_key", "ds", "y", "yhat"), "yhat")
+
+
 FOLDS = NUMBERED + """, fo AS (SELECT num.series_key, num.series_key || '-' || k AS fold, k AS split, ds, y, rn, len - k * 14 AS start, len - (k - 1) * 14 AS stop FROM num, range(1, 4) r(k) WHERE len - k * 14 >= 30),
 tr AS (SELECT fold, ds, y FROM fo WHERE rn <= start), te AS (SELECT fold, ds, y FROM fo WHERE rn > start AND rn <= stop),
 tb AS (SELECT fold, ds, y, row_number() OVER (PARTITION BY fold ORDER BY ds DESC) AS back, max(ds) OVER (PARTITION BY fold) AS last FROM tr),
@@ -172,11 +183,11 @@ def _(spark, d):
 @query("diagnose_series", DECOMPOSED + """, iq AS (SELECT series_key, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM s GROUP BY 1),
 an AS (SELECT s.series_key, CAST(count(*) FILTER (y < q1 - (q3 - q1) OR y > q3 + (q3 - q1)) AS DOUBLE) / count(*) * 100 AS anomaly_rate,
     coalesce(string_agg(CAST(ds AS VARCHAR), ',' ORDER BY ds) FILTER (y < q1 - (q3 - q1) OR y > q3 + (q3 - q1)), '') AS anomaly_dates FROM s JOIN iq USING (series_key) GROUP BY 1)
-SELECT s.series_key, count(*) AS length, 0 AS missing, round(avg(y), 3) AS mean, round(stddev_samp(y), 3) AS std, round(stddev_samp(y) / avg(y), 6) AS cv,
+SELECT s.series_key, count(*) AS length, 0 AS missing, round(CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) / count(*), 3) AS mean, round(stddev_samp(y), 3) AS std, round(stddev_samp(y) / avg(y), 6) AS cv,
   round(any_value(trend_strength), 6) AS trend_strength, round(any_value(seasonal_strength), 6) AS seasonal_strength, any_value(anomaly_rate) AS anomaly_rate,
   any_value(anomaly_dates) AS anomaly_dates FROM s JOIN st USING (series_key) JOIN an USING (series_key) GROUP BY s.series_key""")
 def _(spark, d):
-    out = fc.diagnose_series(mcc_series(spark, d), k=1.0)
+    out = fc.diagnose_series(mcc_series(spark, d), k=1.0, places=2)
     return _rounded(_rounded(out, "mean", "std", digits=3), "cv", "trend_strength", "seasonal_strength", digits=6)
 
 
