@@ -36,6 +36,16 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+@query("stream_trailing_velocity", f"""WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS k FROM e)
+SELECT user_id AS card, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS event_time, n AS events, CAST(k AS BIGINT) AS velocity_count
+FROM w WHERE k > 1 AND (s // 60 + 1) * 60 < (SELECT epoch(c) FROM (SELECT {CLOSED} AS c))""")
+def _(spark, d):
+    path = writers.scratch(spark, "trailing")
+    jobs.run_to_end(jobs.trailing_velocity_stream(event_stream(spark, d), 1), path, writers.scratch(spark, "progress"), keyed_state=True)
+    return spark.read.parquet(path)
+
+
 @query("stream_daily_rollup", TXN + """SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, mcc, CAST(sum(amount) AS DOUBLE) AS total_amount, count(*) AS transaction_count,
   CAST(sum(amount) AS DOUBLE) / count(*) AS avg_amount FROM txn GROUP BY ALL""")
 def _(spark, d):

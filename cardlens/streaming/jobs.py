@@ -5,12 +5,18 @@ keeps its state bounded by a watermark and its progress in a checkpoint folder g
 """
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cardlens.functions.scalars import bool_to_flag, clean_mcc, parse_date_multi, ratio, to_int, to_money
 
@@ -21,11 +27,22 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(folder)
 
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Write the stream to Parquet until the present input is used up."""
-    query = (df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append", keyed_state: bool = False) -> StreamingQuery:
+    """Write the stream to Parquet until the present input is used up; ``keyed_state`` keeps its state in RocksDB."""
+    conf = df.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    if keyed_state:
+        conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = (df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        if keyed_state:
+            conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
     return query
 
 
@@ -47,62 +64,185 @@ def velocity_alerts_stream(events: DataFrame, limit: int = 10, span: str = "1 ho
     return counts.where(F.col("n") > limit).select("card", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
-def daily_rollup_stream(txn: DataFrame, path: str, checkpoint: str, late: str = "3650 days") -> StreamingQuery:
-    """Running sum and count per day and code, kept current as rows arrive.
+class TrailingCounts(StatefulProcessor):
+    """Per card the events of each second of the last span; a timer at the end of each minute judges its seconds.
 
-    In update mode each batch brings the new totals of the groups it touched. They go to a folder named after the batch,
-    which a retried batch overwrites, so a restart never doubles a total; ``daily_rollup`` reads the newest total of each group
-    and ``compact_rollup``, to be run between batches, folds the folders into one.
+    The state of a card holds one count per second of a span, of the lateness and of the minutes still open, however many
+    events there are.
     """
-    totals = txn.withWatermark("event_time", late).groupBy(F.window("event_time", "1 day").alias("w"), "mcc").agg(
-        F.sum("amount").alias("total_amount"), F.count("*").alias("transaction_count"))
-    flat = totals.select(F.col("w.start").cast("date").alias("transaction_date"), "mcc", "total_amount", "transaction_count")
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def __init__(self, limit: int, span: int):
+        self.limit, self.span = limit, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seconds = handle.getMapState("seconds", "second bigint", "n bigint")
+        self.judged = handle.getValueState("judged", "before bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        minutes = set()
+        for frame in rows:
+            counts = frame.groupby("second")["n"].sum()
+            for second, n in counts.items():
+                known = self.seconds.getValue((int(second),))
+                self.seconds.updateValue((int(second),), (int(n) + (known[0] if known else 0),))
+            minutes |= set((counts.index // 60 + 1).tolist())
+        for minute in minutes:
+            self.handle.registerTimer(int(minute) * 60_000)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        before = self.judged.get()
+        held = sorted((k[0], v[0]) for k, v in self.seconds.iterator())
+        second, n = (np.array(x, np.int64) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        total = np.r_[0, np.cumsum(n)]
+        trailing = total[1:] - total[np.searchsorted(second, second - self.span)]
+        tell = (second < upto) & (trailing > self.limit)
+        if before:
+            tell &= second >= before[0]
+        self.judged.update((upto,))
+        for old in second[second < upto - self.span].tolist():
+            self.seconds.removeKey((old,))
+        yield pd.DataFrame({"card": key[0], "event_time": pd.to_datetime(second[tell], unit="s"), "events": n[tell], "velocity_count": trailing[tell]})
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_velocity_stream(events: DataFrame, limit: int = 10, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Alerts (card, event_time, events, velocity_count) for each second in which a card's events of the trailing span, both
+    ends included, exceed the limit: the batch rule, for events in any order within the watermark.
+
+    A second is judged once the watermark has passed its minute. The stream needs the RocksDB state store
+    (``run_to_end(..., keyed_state=True)``).
+    """
+    per_second = events.withWatermark("event_time", late).select(
+        "card", "event_time", F.unix_timestamp("event_time").alias("second"), F.lit(1).cast("bigint").alias("n"))
+    return per_second.groupBy("card").transformWithStateInPandas(
+        TrailingCounts(limit, seconds), outputStructType=f"card {dict(events.dtypes)['card']}, event_time timestamp, events bigint, velocity_count bigint",
+        outputMode="append", timeMode="eventTime")
 
-    query = flat.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+
+# ---- daily totals ----------------------------------------------------------------------------------------------
+#
+# A folder of totals consists of data folders and of manifests. A data folder counts only once a manifest names it. A
+# manifest is written under another name and renamed, so it is there whole or not at all. Batches are known by their
+# stream (its checkpoint folder) and number; a base holds the sums of all batches up to a number of each stream.
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def _folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
-    """Subfolders ``name=number`` of a folder, in any file system that Spark reads."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def _commit(spark: SparkSession, path: str, name: str, entry: dict) -> None:
+    files, folder = _file_system(spark, f"{path}/manifests")
+    files.mkdirs(folder)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/.{name}.{uuid.uuid4().hex}")
+    out = files.create(draft, True)
+    out.write(bytearray(json.dumps(entry, sort_keys=True).encode()))
+    out.close()
+    final = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{name}")
+    if not files.rename(draft, final):  # someone else has committed the same batch
+        files.delete(draft, False)
+
+
+def _manifests(spark: SparkSession, path: str) -> dict[str, dict]:
+    """Committed entries by name."""
+    files, folder = _file_system(spark, f"{path}/manifests")
     if not files.exists(folder):
         return {}
-    names = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()]
-    return {int(n.partition("=")[2]): f"{path}/{n}" for n in names if n.startswith(f"{name}=")}
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    found = {}
+    for name in names:
+        if not name.startswith("."):
+            stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{name}"))
+            found[name] = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+    return found
+
+
+def _current(manifests: dict[str, dict]) -> tuple[dict | None, dict[str, dict]]:
+    """The newest base and the batches that it does not hold."""
+    bases = [m for m in manifests.values() if m["kind"] == "base"]
+    base = max(bases, key=lambda m: m["number"], default=None)
+    upto = base["upto"] if base else {}
+    return base, {n: m for n, m in manifests.items() if m["kind"] == "batch" and m["batch"] > upto.get(m["stream"], -1)}
+
+
+def daily_rollup_stream(txn: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Sum and count per day and code, kept current as rows arrive.
+
+    Each batch writes its own partial sums and then its manifest; the stream keeps no state, so rows of any age count. A
+    batch that is run again after its manifest is left out, one that is run again before it writes a new folder, so no stop
+    doubles or loses a total. ``daily_rollup`` adds the parts up; ``compact_rollup`` folds them into one between batches.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"batch-{stream}-{number}"
+        manifests = _manifests(spark, path)
+        base, _ = _current(manifests)
+        if name in manifests or (base and number <= base["upto"].get(stream, -1)):
+            return
+        folder = f"{path}/data/{name}-{uuid.uuid4().hex}"
+        batch.groupBy(F.col("event_time").cast("date").alias("transaction_date"), "mcc").agg(
+            F.sum("amount").alias("total_amount"), F.count("*").alias("transaction_count")).write.parquet(folder)
+        _commit(spark, path, name, {"kind": "batch", "stream": stream, "batch": number, "folder": folder})
+
+    query = txn.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
-def _newest_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The newest total of each group with the batch it came in: the last base and the batches after it."""
-    bases, batches = _folders(spark, f"{path}-base", "upto"), _folders(spark, path, "batch_id")
-    upto = max(bases, default=-1)
-    parts = [spark.read.parquet(p).withColumn("batch_id", F.lit(i).cast("bigint")) for i, p in sorted(batches.items()) if i > upto]
-    if bases:
-        parts.append(spark.read.parquet(bases[upto]))
-    newest = F.max_by(F.struct("total_amount", "transaction_count", "batch_id"), "batch_id")
-    return reduce(DataFrame.unionByName, parts).groupBy("transaction_date", "mcc").agg(newest.alias("s")).select("transaction_date", "mcc", "s.*")
+def _summed(spark: SparkSession, folders: list[str]) -> DataFrame:
+    parts = [spark.read.parquet(f) for f in folders]
+    return reduce(DataFrame.unionByName, parts).groupBy("transaction_date", "mcc").agg(
+        F.sum("total_amount").alias("total_amount"), F.sum("transaction_count").alias("transaction_count"))
 
 
 def compact_rollup(spark: SparkSession, path: str) -> None:
-    """Fold all batches so far into one base, then delete what it holds. A stop in between leaves both, which reads alike."""
-    bases, batches = _folders(spark, f"{path}-base", "upto"), _folders(spark, path, "batch_id")
-    if not batches or max(batches) <= max(bases, default=-1):
-        return
-    upto = max(batches)
-    _newest_totals(spark, path).write.mode("overwrite").parquet(f"{path}-base/upto={upto}")
-    for folder in [*batches.values(), *bases.values()]:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    """Fold all committed parts into one base, then delete what it holds and what was never committed.
+
+    The base counts from its manifest on. A stop before it leaves the parts, one after it leaves parts that the base
+    outdates; both read alike, and the next call cleans up. Not to be run while a batch is written.
+    """
+    base, batches = _current(_manifests(spark, path))
+    if batches:
+        folders = [m["folder"] for m in batches.values()] + ([base["folder"]] if base else [])
+        upto = dict(base["upto"]) if base else {}
+        for m in batches.values():
+            upto[m["stream"]] = max(m["batch"], upto.get(m["stream"], -1))
+        number = base["number"] + 1 if base else 0
+        folder = f"{path}/data/base-{number}-{uuid.uuid4().hex}"
+        _summed(spark, folders).write.parquet(folder)
+        _commit(spark, path, f"base-{number}", {"kind": "base", "number": number, "upto": upto, "folder": folder})
+    manifests = _manifests(spark, path)
+    base, batches = _current(manifests)
+    keep = {m["folder"].rpartition("/")[2] for m in [*batches.values(), *([base] if base else [])]}
+    for name, m in manifests.items():
+        if m["folder"].rpartition("/")[2] not in keep:
+            _delete(spark, f"{path}/manifests/{name}")
+    files, folder = _file_system(spark, f"{path}/data")
+    for status in files.listStatus(folder) if files.exists(folder) else []:
+        if status.getPath().getName() not in keep:
+            files.delete(status.getPath(), True)
 
 
 def daily_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """Newest totals per day and code, with the mean from them."""
-    return _newest_totals(spark, path).select("transaction_date", "mcc", "total_amount", "transaction_count",
-                                              ratio(F.col("total_amount"), F.col("transaction_count")).alias("avg_amount"))
+    """Totals per day and code with the mean from them, from all committed parts; an error before the first one."""
+    base, batches = _current(_manifests(spark, path))
+    folders = [m["folder"] for m in batches.values()] + ([base["folder"]] if base else [])
+    if not folders:
+        raise FileNotFoundError(f"no batch has been committed in {path}")
+    return _summed(spark, folders).select("transaction_date", "mcc", "total_amount", "transaction_count",
+                                          ratio(F.col("total_amount"), F.col("transaction_count")).alias("avg_amount"))
 
 
 def ingest_stream(raw: DataFrame, key: str = "transaction_id", late: str = "7 days", time_col: str = "ingest_time") -> DataFrame:
