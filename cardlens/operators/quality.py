@@ -1,10 +1,11 @@
 """Data quality: profiles, rules as data, scores, repairs and diagnoses."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ CRITICAL_COLUMNS = ["hpan", "transaction_code", "amount_uzs", "emitent_bank"]
 VALID_MCC = [5411, 5999, 5812, 6011, 5541, 5912, 5814, 5311, 5732, 5045, 5942, 5947, 5122, 5813, 5921]
 GENDERS = ["М", "Ж", "M", "F"]
 IP_PATTERN = r"^(\d{1,3}\.){3}\d{1,3}$"
+SKETCH_ERROR = 0.02
 LEAST_AMOUNT, LARGEST_AMOUNT = 100, 1_000_000_000
 NUMERIC_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -31,28 +33,84 @@ def _number(name: str) -> Column:
 def _value_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, value, n): all columns in one pass and one shuffle, with equal values summed before it."""
     names = list(columns or df.columns)
-    text = df.select(*[F.col(f"`{n}`").cast("string").alias(n) for n in names])
-    return text.unpivot([], names, "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
+    text = df.select(*[F.col(f"`{n}`").cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+    counted = text.unpivot([], text.columns, "at", "value").groupBy("at", "value").agg(F.count("*").alias("n"))
+    name = F.get(F.array(*[F.lit(n) for n in names]), F.substring("at", 2, 10).cast("int"))
+    return counted.select(name.alias("column"), "value", "n")
 
 
 def _blank() -> Column:
     return F.col("value").isNull() | (F.col("value") == "")
 
 
-def profile_table(df: DataFrame, k: int = 5) -> DataFrame:
-    """Per column: type, rows, missing, missing share, distinct values, the k smallest examples, numeric extremes and mean."""
-    kinds = dict(df.dtypes)
-    values = _value_table(df)
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("column"))
-    numeric = reduce(lambda a, b: a | b, [F.col("type").startswith(n) for n in NUMERIC_KINDS])
-    v = F.when(numeric, F.col("value").try_cast("double"))
-    stats = values.withColumn("type", kind).groupBy("column", "type").agg(
-        F.sum("n").alias("total"), F.sum(F.when(_blank(), F.col("n")).otherwise(0)).alias("nulls"),
-        F.count("value").alias("distinct_values"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
-        F.round(F.sum(v * F.col("n")) / F.sum(F.when(v.isNotNull(), F.col("n"))), 4).alias("avg_value"))
-    shown = top_per_key(values.where(~_blank()), ["column"], [F.col("value")], k, "_r").groupBy("column").agg(
-        F.array_sort(F.collect_list("value")).alias("examples"))
-    return stats.withColumn("null_rate", ratio(F.col("nulls"), F.col("total"))).join(shown, "column", "left").orderBy("column")
+def _least_values(df: DataFrame, k: int) -> DataFrame:
+    """(column, value): the k smallest filled values of each column. A task keeps k values a column and passes only those on."""
+    names = df.columns
+    text = df.select(*[F.col(f"`{n}`").cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        least: list[list[str]] = [[] for _ in names]
+        for batch in batches:
+            for i in range(len(names)):
+                held = least[i]
+                values = pc.unique(batch.column(i))
+                if len(held) == k:
+                    values = values.filter(pc.less(values, pa.scalar(held[-1], values.type)))
+                fresh = values.filter(pc.greater(values, pa.scalar("", values.type)))
+                if len(fresh):
+                    order = pc.select_k_unstable(pa.table({"v": fresh}), min(k, len(fresh)), [("v", "ascending")])
+                    least[i] = sorted({*held, *fresh.take(order).to_pylist()}, key=lambda v: v.encode())[:k]
+        rows = [(name, v) for name, held in zip(names, least) for v in held]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(2)], names=["column", "value"])
+
+    parts = text.mapInArrow(run, "column string, value string").distinct()
+    return top_per_key(parts, ["column"], [F.col("value")], k, "_r").drop("_r")
+
+
+def _column_states(df: DataFrame) -> DataFrame:
+    """One row per column with type, counts, extremes, mean, smallest filled value and a distinct sketch: one aggregation of
+    bounded state, no value is shuffled."""
+    entries, aggregates = [], [F.count("*").alias("t")]
+    for i, (name, kind) in enumerate(df.dtypes):
+        c = F.col(f"`{name}`")
+        text = c.cast("string")
+        filled = text.isNotNull() & (text != "")
+        number = kind.startswith(NUMERIC_KINDS)
+        v = c.cast("double") if number else F.lit(None).cast("double")
+        total = F.sum(c).cast("double") if number else F.lit(None).cast("double")
+        aggregates += [F.count_if(~F.coalesce(filled, F.lit(False))).alias(f"n{i}"), F.approx_count_distinct(text, SKETCH_ERROR).alias(f"d{i}"),
+                       F.min(F.when(filled, text)).alias(f"e{i}")]
+        if number:
+            aggregates += [F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"), F.round(F.try_divide(total, F.count(c)), 4).alias(f"a{i}")]
+        at = lambda x: F.col(f"{x}{i}") if number else F.lit(None).cast("double")  # noqa: B023, E731
+        entries.append(F.struct(F.lit(name).alias("column"), F.lit(kind).alias("type"), F.col("t").alias("total"), F.col(f"n{i}").alias("nulls"),
+                                F.col(f"d{i}").alias("distinct_values"), at("l").alias("min_value"), at("h").alias("max_value"), at("a").alias("avg_value"),
+                                F.col(f"e{i}").alias("example")))
+    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
+
+
+def _with_exact_distinct(states: DataFrame, df: DataFrame, deal_by: str | None) -> DataFrame:
+    """The sketches replaced by exact counts: every different value of every column is shuffled."""
+    dealt = df if deal_by is None else df.repartition(F.col(f"`{deal_by}`"))
+    exact = _value_table(dealt).groupBy("column").agg(F.count("value").alias("distinct_values"))
+    return states.drop("distinct_values").join(exact, "column", "left").na.fill(0, ["distinct_values"])
+
+
+def profile_table(df: DataFrame, k: int = 5, exact: bool = True, deal_by: str | None = None) -> DataFrame:
+    """Per column: type, rows, missing, missing share, distinct values, the k smallest examples, numeric extremes and mean.
+
+    Two passes with bounded state. Distinct values are counted exactly by a third pass, which shuffles them, or estimated
+    within ``SKETCH_ERROR``. ``deal_by`` names a column with many values by which rows are dealt before they are taken
+    apart, for tables whose files give few tasks.
+    """
+    states = _column_states(df)
+    if exact:
+        states = _with_exact_distinct(states, df, deal_by)
+    shown = _least_values(df, k).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    return states.drop("example").withColumn("null_rate", ratio(F.col("nulls"), F.col("total"))).join(shown, "column", "left").select(
+        "column", "type", "total", "nulls", "distinct_values", "min_value", "max_value", "avg_value", "null_rate", "examples").orderBy("column")
 
 
 def null_rates(df: DataFrame) -> DataFrame:
@@ -63,13 +121,13 @@ def null_rates(df: DataFrame) -> DataFrame:
     return long.withColumn("null_rate", ratio(F.col("nulls"), F.col("total"))).orderBy(F.col("null_rate").desc(), "column")
 
 
-def data_dictionary(df: DataFrame) -> DataFrame:
-    """Column, smallest value as repeatable example, missing, missing share and distinct values."""
-    values = _value_table(df)
-    return values.groupBy("column").agg(
-        F.min(F.when(~_blank(), F.col("value"))).alias("example"), F.sum(F.when(_blank(), F.col("n")).otherwise(0)).alias("nulls"),
-        ratio(F.sum(F.when(_blank(), F.col("n")).otherwise(0)), F.sum("n")).alias("null_rate"),
-        F.count("value").alias("distinct_values")).orderBy(F.col("null_rate").desc(), "column")
+def data_dictionary(df: DataFrame, exact: bool = True, deal_by: str | None = None) -> DataFrame:
+    """Column, smallest value as repeatable example, missing, missing share and distinct values (see ``profile_table``)."""
+    states = _column_states(df)
+    if exact:
+        states = _with_exact_distinct(states, df, deal_by)
+    return states.select("column", "example", "nulls", ratio(F.col("nulls"), F.col("total")).alias("null_rate"), "distinct_values").orderBy(
+        F.col("null_rate").desc(), "column")
 
 
 # ---- rules -----------------------------------------------------------------------------------------------------
@@ -390,8 +448,13 @@ def data_patterns(df: DataFrame, hours: int = 3, codes: int = 5) -> DataFrame:
     return top("hour_num", hours, "peak_hour").unionByName(p2p).unionByName(top("mcc", codes, "top_mcc"))
 
 
-def entity_density(df: DataFrame, entities: Sequence[str] = ("hpan", "pinfl", "merchant_name")) -> DataFrame:
-    """Distinct entities and rows per entity, from one value table."""
+def entity_density(df: DataFrame, entities: Sequence[str] = ("hpan", "pinfl", "merchant_name"), exact: bool = True) -> DataFrame:
+    """Distinct entities and rows per entity, from one value table, or from sketches in one pass."""
+    if not exact:
+        states = _column_states(df.select(*entities))
+        filled = F.col("total") - F.col("nulls")
+        return states.where(filled > 0).select(F.col("column").alias("entity"), "distinct_values", filled.alias("transactions"),
+                                               ratio(filled, F.col("distinct_values")).alias("avg_per_entity"))
     values = _value_table(df, entities).where(~_blank())
     return values.groupBy(F.col("column").alias("entity")).agg(
         F.count("*").alias("distinct_values"), F.sum("n").alias("transactions"),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from cardlens.functions.distributed import heaviest_value, top_values
 from cardlens.operators import metrics as m
+from cardlens.operators import sketches as sk
 from cardlens.plans.registry import TXN, on_nulled, query, with_missing
 from cardlens.sources.model import last_day, transactions
 
@@ -308,3 +309,39 @@ def _(spark, d):
 @query("top_n_plus_other_null", on_nulled("top_n_plus_other").replace("ORDER BY sum(amount) DESC, CAST(mcc AS VARCHAR))", "ORDER BY sum(amount) DESC, CAST(mcc AS VARCHAR) NULLS FIRST)"))
 def _(spark, d):
     return m.top_n_plus_other(with_missing(transactions(spark, d, "mcc", "amount_uzs", "merchant")))
+
+
+SKETCHED = ["card_masked", "merchant_id"]
+
+
+def _near(states, exact, keys):
+    """Estimates beside exact counts: whether each is within five standard errors, and the exact values."""
+    wide = sk.estimates(states).join(exact.select(*keys, *[F.col(f"unique_{c}").alias(f"_{c}") for c in SKETCHED]), keys)
+    limit = 5 * sk.relative_error()
+    return wide.withColumns({f"{c}_near": F.abs(F.col(f"unique_{c}") - F.col(f"_{c}")) <= F.greatest(F.lit(1.0), limit * F.col(f"_{c}")) for c in SKETCHED})
+
+
+@query("sketch_states_merged", TXN + f"""SELECT company_id, count(*) AS transactions, {AMOUNTS} AS volume, CAST(max(amount) AS DOUBLE) AS largest,
+  count(DISTINCT card_masked) AS cards, count(DISTINCT merchant_id) AS merchants, true AS card_masked_near, true AS merchant_id_near
+FROM txn WHERE transaction_date BETWEEN DATE '{LONG_AGO}' - 1000 AND DATE '{LATE}' GROUP BY 1""")
+def _(spark, d):
+    df = transactions(spark, d, "transaction_date", "company_id", "card_masked", "merchant_id", "amount")
+    begin = F.date_sub(F.lit(LONG_AGO).cast("date"), 1000)
+    states = sk.daily_states(df, ["company_id"], SKETCHED)
+    inside = df.where(F.col("transaction_date").between(begin, F.lit(LATE).cast("date")))
+    merged = sk.merge_states(states.where(F.col("transaction_date") >= begin), ["company_id"], date_to=LATE)
+    near = _near(merged, sk.exact_counts(inside, ["company_id"], SKETCHED), ["company_id"])
+    return near.select("company_id", "transactions", "volume", "largest", F.col("_card_masked").alias("cards"), F.col("_merchant_id").alias("merchants"),
+                       "card_masked_near", "merchant_id_near")
+
+
+@query("sketch_states_rolling", TXN + f""", dd AS (SELECT DISTINCT transaction_date AS d FROM txn)
+SELECT CAST(d AS VARCHAR) AS transaction_date, count(*) AS transactions, {AMOUNTS} AS volume, count(DISTINCT card_masked) AS cards, true AS card_masked_near
+FROM dd JOIN txn ON transaction_date BETWEEN d - 6 AND d GROUP BY d""")
+def _(spark, d):
+    df = transactions(spark, d, "transaction_date", "card_masked", "merchant_id", "amount")
+    rolled = sk.rolling_states(sk.daily_states(df, [], SKETCHED), [], 7)
+    days = df.select(F.col("transaction_date").alias("d")).distinct()
+    spread = df.withColumn("d", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.date_add("transaction_date", i)))).join(days, "d", "left_semi")
+    exact = sk.exact_counts(spread, ["d"], SKETCHED).withColumnRenamed("d", "transaction_date")
+    return _near(rolled, exact, ["transaction_date"]).select("transaction_date", "transactions", "volume", F.col("_card_masked").alias("cards"), "card_masked_near")

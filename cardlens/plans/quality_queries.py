@@ -43,7 +43,7 @@ SELECT "column", CASE WHEN "column" = 'card_no' THEN 'bigint' ELSE 'string' END
 FROM v GROUP BY 1, 2""")
 def _(spark, d):
     df = transactions_dirty(spark, d).withColumn("card_no", F.col("hpan").cast("bigint")).drop("hpan")
-    return q.profile_table(df)
+    return q.profile_table(df, deal_by="transaction_id")
 
 
 @query("null_rates", DIRTY + _per_column("SELECT '{c}' AS \"column\", count(*) FILTER ({c} = '') AS nulls, count(*) AS total, "
@@ -56,7 +56,19 @@ def _(spark, d):
     "SELECT '{c}' AS \"column\", min({c}) FILTER ({c} <> '') AS example, count(*) FILTER ({c} = '') AS nulls, "
     "CAST(count(*) FILTER ({c} = '') AS DOUBLE) / count(*) AS null_rate, count(DISTINCT {c}) AS distinct_values FROM dirty", DIRTY_COLUMNS))
 def _(spark, d):
-    return q.data_dictionary(transactions_dirty(spark, d))
+    return q.data_dictionary(transactions_dirty(spark, d), deal_by="transaction_id")
+
+
+@query("profile_table_sketched", DIRTY + ", v AS (" + _per_column(
+    "SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER ({c} = '') AS nulls, count(DISTINCT {c}) AS d, "
+    "array_to_string((list(DISTINCT {c} ORDER BY {c}) FILTER ({c} <> ''))[1:5], ',') AS examples FROM dirty", DIRTY_COLUMNS) + """)
+SELECT "column", total, nulls, examples, true AS near FROM v""")
+def _(spark, d):
+    """Distinct counts are sketches: the row tells whether each is within five errors of the exact count."""
+    df = transactions_dirty(spark, d)
+    exact = q.data_dictionary(df, deal_by="transaction_id").select("column", F.col("distinct_values").alias("d"))
+    near = F.abs(F.col("distinct_values") - F.col("d")) <= 5 * q.SKETCH_ERROR * F.col("d")
+    return q.profile_table(df, exact=False).join(exact, "column").select("column", "total", "nulls", "examples", near.alias("near"))
 
 
 def _rule_sql(column: str, label: str, bad: str) -> str:
