@@ -1,5 +1,6 @@
 """Exact invariants of fitted models and clusters, where the model itself has no form in SQL: counts and facts as rows."""
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardlens.functions.distributed import with_scalars
@@ -61,6 +62,24 @@ def _(spark, d):
     return found.agg(F.count("*").alias("trials"), (F.count_distinct("params") == F.count("*")).alias("distinct_points"), (F.min("roc_auc") > 0.5).alias("better_than_chance"))
 
 
+@query("halving_search_check", TXN + """, h AS (SELECT transaction_id, fraud_proxy, CAST('0x' || substr(md5(transaction_id || '42'), 1, 8) AS BIGINT) AS h,
+  CAST('0x' || substr(md5(transaction_id || 'rung'), 1, 8) AS BIGINT) % 10000 AS g FROM txn),
+r AS (SELECT *, row_number() OVER (PARTITION BY fraud_proxy ORDER BY h % 10000, h, transaction_id) AS r, count(*) OVER (PARTITION BY fraud_proxy) AS n FROM h),
+t AS (SELECT g FROM r WHERE r > CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2 + 0.5)) ELSE 0 END)
+SELECT rung, trials, (SELECT count(*) FROM t WHERE g < share) AS rows, TRUE AS better_than_chance, TRUE AS best_goes_on
+FROM (VALUES (0, 9, 1111), (1, 3, 3333), (2, 1, 10000)) v(rung, trials, share)""")
+def _(spark, d):
+    """Rungs with their rows; the settings of a rung must be the best of the one before."""
+    frame = _basic(spark, d).persist()
+    found = fr.halving_search(frame, NAMES, kind="forest", space={"maxDepth": (2, 6), "minInstancesPerNode": (1, 40), "subsamplingRate": (0.5, 1.0)}, trees=5)[1]
+    frame.unpersist()
+    ranked = found.withColumn("place", F.rank().over(W.partitionBy("rung").orderBy(F.col("roc_auc").desc())))
+    before = ranked.select((F.col("rung") + 1).alias("rung"), "params", F.col("place").alias("was"))
+    joined = ranked.join(before, ["rung", "params"], "left")
+    kept = F.coalesce(F.max("was") <= F.count("*"), F.lit(True))
+    return joined.groupBy("rung").agg(F.count("*").alias("trials"), F.max("rows").alias("rows"), (F.max("roc_auc") > 0.5).alias("better_than_chance"), kept.alias("best_goes_on"))
+
+
 @query("feature_importance_check", f"SELECT {len(NAMES)} AS features, 1.0::DOUBLE AS total, TRUE AS ranked, TRUE AS uses_flag FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0")
 def _(spark, d):
     found = fr.feature_importance(fr.train_fraud_model(_basic(spark, d), NAMES, kind="forest", trees=5, depth=5), spark, NAMES)
