@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cardlens.session import cut_lineage
 
 BINS_PER_OCTAVE = 512
-RADIX_BITS = (20, 35, 50)  # leading bits by which values are counted, round by round
+RADIX_BITS = (26, 50)  # leading bits by which values are counted, round by round; a round has at most 2^26 counters
 SLICE_ROWS = 200_000  # rows of one key that a window orders at once
 
 
@@ -48,27 +48,20 @@ def value_bin(c: Column) -> Column:
 
 def ordered_bits(c: Column) -> Column:
     """The bits of a double as a whole number that is ordered as the doubles are; both zeros are 0, NaN comes last."""
-    v = c.cast("double")
-    size = F.abs(v)
-    near = F.floor(F.log2(size))  # may be one off beside a power of two
-    near = near - (size < F.pow(F.lit(2.0), near)).cast("long") + (size >= F.pow(F.lit(2.0), near + 1)).cast("long")
-    normal = (near + 1023) * F.lit(1 << 52) + ((size / F.pow(F.lit(2.0), near) - 1) * float(1 << 52)).cast("long")
-    tiny = (size / 5e-324).cast("long")
-    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.2250738585072014e-308, tiny).otherwise(normal)
-    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -bits).otherwise(bits)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c.cast("double")).cast("bigint")
+    return F.when(c.cast("double") < 0, -bits.bitwiseAND(F.lit((1 << 63) - 1))).when(c.cast("double") == 0, F.lit(0)).otherwise(bits)
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated percentiles per group: (keys, prob, value), by radix selection.
 
-    Each round counts the values by some more leading bits and keeps those whose bits hold a wanted rank. After the last
-    round a group of equal leading bits has at most 2^14 different values, so ordering them is bounded however dense the
-    values are. Without keys nothing but counts is shuffled; with keys values are counted per group first.
+    Equal values are counted first, in one pass over the frame; all rounds read that shuffle. Each round counts by some
+    more leading bits and keeps the values whose bits hold a wanted rank. After the last round a group of equal leading bits
+    has at most 2^14 different values, so ordering them is bounded however dense the values are.
     """
     keys = list(keys)
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    rows = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n")) if keys else values.withColumn("_n", F.lit(1).cast("long"))
-    rows = rows.withColumn("_bits", ordered_bits(F.col("_v")))
+    rows = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_bits", ordered_bits(F.col("_v")))
     held = (lambda left, right, on: join_null_safe(left, right, [*keys, on])) if keys else (
         lambda left, right, on: left.join(F.broadcast(right), on))  # a row per probability and side
     found = None

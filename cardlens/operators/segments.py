@@ -19,8 +19,10 @@ CLUSTER_FEATURES = ["txn_count_30d", "txn_amount_30d", "avg_txn_amount_30d", "p2
 def rfm_scores(cards: DataFrame) -> DataFrame:
     """R from values (low is good), F and M from first-come ranks; three-digit code and segment."""
     active = cards.where(F.col("txn_count_30d") > 0)
-    scored = quartile_score(active, "txn_count_30d", "F_score", mode="rank")
-    scored = quartile_score(scored, "txn_amount_30d", "M_score", mode="rank")
+    slim = active.select("hpan", "txn_count_30d", "txn_amount_30d").persist()
+    scored = quartile_score(active, "txn_count_30d", "F_score", mode="rank", fit_on=slim)
+    scored = quartile_score(scored, "txn_amount_30d", "M_score", mode="rank", fit_on=slim)
+    slim.unpersist()
     scored = quartile_score(scored, "days_since_last_txn", "_late")
     scored = scored.withColumn("R_score", 5 - F.col("_late")).drop("_late")
     r, f, m = F.col("R_score"), F.col("F_score"), F.col("M_score")

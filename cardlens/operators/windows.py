@@ -132,14 +132,16 @@ def cumulative_share(df: DataFrame, group: str, item: str, volume: str, coverage
     return shared.where((F.col("cum_share") <= coverage) | (F.col("rank") == 1)).drop("_cum", "_all")
 
 
-def quartile_score(df: DataFrame, value: str, name: str, mode: str = "value", tie: str = "hpan") -> DataFrame:
+def quartile_score(df: DataFrame, value: str, name: str, mode: str = "value", tie: str = "hpan",
+                   fit_on: DataFrame | None = None) -> DataFrame:
     """Quartile 1–4 by interpolated edges, right-closed.
 
     ``value`` cuts the values; repeated edges fall back to four equal widths. ``rank`` cuts first-come ranks over (value,
-    tie): only the three rows at the edges are looked for, and each row is compared with them.
+    tie): only the three rows at the edges are looked for, and each row is compared with them. ``fit_on`` is the same frame
+    in a form that is cheap to read again.
     """
     if mode == "rank":
-        cuts = cut_rows(df, [value, tie], lambda n: [1 + (n - 1) * i // 4 for i in (1, 2, 3)] + [max(n, 1)])
+        cuts = cut_rows(df if fit_on is None else fit_on, [value, tie], lambda n: [1 + (n - 1) * i // 4 for i in (1, 2, 3)] + [max(n, 1)])
         row = F.struct(value, tie)
         alone = F.get(F.col("_cuts"), 0) == F.get(F.col("_cuts"), 3)
         below = [row <= F.get(F.col("_cuts"), i) for i in range(3)]

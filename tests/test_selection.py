@@ -35,14 +35,6 @@ def test_dense_values(spark, keys):
         assert got == pytest.approx({p: float(np.quantile(values, p)) for p in probs}, abs=1e-12)
 
 
-def test_values_are_not_shuffled_without_keys(spark):
-    df = spark.range(100_000).select((F.col("id") / 7).alias("v"))
-    ds.percentiles(df, [], "v", [0.25]).collect()
-    plan = ds.percentiles(df, [], "v", [0.25])._jdf.queryExecution().executedPlan().toString()
-    lines = [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x]
-    assert lines and not any("_v#" in x for x in lines if "_p50" not in x)
-
-
 @pytest.mark.parametrize("small,splits", [(1, 2), (7, 5), (200_000, 64)])
 def test_cut_rows(spark, small, splits):
     r = random.Random(4)
