@@ -93,33 +93,89 @@ def ensemble(forecasts: Sequence[DataFrame], weights: Sequence[float] | None = N
     return every.groupBy(*keys, "ds").agg(*[mean(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
 
 
+def _error_measures(inside: Column) -> list[Column]:
+    """Count, errors and band coverage of rows with ``y`` and ``yhat``."""
+    gap, size = F.abs(F.col("y") - F.col("yhat")), (F.abs("y") + F.abs("yhat")) / 2
+    return [F.count("*").alias("n"), (F.avg(F.try_divide(gap, F.abs("y"))) * 100).alias("mape"), (F.avg(F.try_divide(gap, size)) * 100).alias("smape"),
+            F.avg(gap).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), percent(F.count_if(inside), F.count("*")).alias("coverage")]
+
+
 def forecast_metrics(forecast: DataFrame, holdout: DataFrame, train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Percentage, symmetric, scaled, absolute and squared errors and band coverage per series."""
     keys = list(keys)
     both = align_on_date(holdout, forecast, keys).where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
-    gap, size = F.abs(F.col("y") - F.col("yhat")), (F.abs("y") + F.abs("yhat")) / 2
-    inside = F.col("y").between(F.col("yhat_lower"), F.col("yhat_upper"))
-    errors = both.groupBy(*keys).agg(
-        F.count("*").alias("n"), (F.avg(F.try_divide(gap, F.abs("y"))) * 100).alias("mape"),
-        (F.avg(F.try_divide(gap, size)) * 100).alias("smape"), F.avg(gap).alias("mae"),
-        F.sqrt(F.avg(gap * gap)).alias("rmse"), percent(F.count_if(inside), F.count("*")).alias("coverage"))
+    errors = both.groupBy(*keys).agg(*_error_measures(F.col("y").between(F.col("yhat_lower"), F.col("yhat_upper"))))
     step = F.abs(F.col("y") - F.lag("y").over(W.partitionBy(*keys).orderBy("ds")))
     naive = train.where(F.col("y").isNotNull()).withColumn("_d", step).groupBy(*keys).agg(F.avg("_d").alias("_naive"))
     return join_null_safe(errors, naive, keys, "left").withColumn("mase", F.try_divide("mae", "_naive")).drop("_naive")
 
 
-def rolling_origin(series: DataFrame, n_splits: int = 3, test_size: int = 14, min_train: int = 30, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Back-test of both models: one row per series, split and model. Splits are a key column, not a loop."""
-    keys = list(keys)
+def _fold_ends(series: DataFrame, n_splits: int, test_size: int, min_train: int, keys: Sequence[str]) -> DataFrame:
+    """Each row with its number, its count of values and ``_folds``: what prefix sums say at the last training row of each fold.
+
+    The regression line, the mean step and the last day of every fold are read from running sums at one row, so a series is
+    sorted once, whatever the number of folds.
+    """
     whole = W.partitionBy(*keys)
-    numbered = series.withColumns({"_rn": F.row_number().over(whole.orderBy("ds")), "_len": F.count("*").over(whole)})
-    folds = numbered.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(n_splits)))).withColumn(
-        "_stop", F.col("_len") - (F.col("split") - 1) * test_size).withColumn("_start", F.col("_stop") - test_size).where(F.col("_start") >= min_train)
+    upto = whole.orderBy("ds").rowsBetween(W.unboundedPreceding, 0)
+    before = whole.orderBy("ds").rowsBetween(W.unboundedPreceding, -1)
+    has = F.col("y").isNotNull()
+    timed = series.select(*keys, "ds", "y").withColumns({
+        "_rn": F.row_number().over(whole.orderBy("ds")), "_len": F.count("*").over(whole), "_t": F.datediff("ds", F.min("ds").over(whole)).cast("double"),
+        "_step": F.abs(F.col("y") - F.last("y", ignorenulls=True).over(before))})
+    moments = timed.withColumns({
+        "_n": F.count("y").over(upto), "_st": F.sum(F.when(has, F.col("_t"))).over(upto), "_sy": F.sum("y").over(upto),
+        "_stt": F.sum(F.when(has, F.col("_t") * F.col("_t"))).over(upto), "_sty": F.sum(F.col("_t") * F.col("y")).over(upto),
+        "_naive": F.avg("_step").over(upto)})
+    spread = F.col("_n") * F.col("_stt") - F.col("_st") * F.col("_st")
+    slope = F.coalesce(F.try_divide(F.col("_n") * F.col("_sty") - F.col("_st") * F.col("_sy"), spread), F.lit(0.0))
+    split = F.try_divide(F.col("_len") - F.col("_rn"), F.lit(test_size))
+    ends = (split == F.floor(split)) & split.between(1, n_splits) & (F.col("_rn") >= min_train)
+    level = F.try_divide(F.col("_sy") - slope * F.col("_st"), F.col("_n"))
+    fold = F.when(ends, F.struct(split.cast("int").alias("split"), F.col("_rn").alias("start"), F.col("_n").alias("n"), F.col("ds").alias("last"),
+                                 slope.alias("slope"), level.alias("base"), F.col("_naive").alias("naive")))
+    return moments.withColumn("_fold", fold).withColumn("_folds", F.collect_list("_fold").over(whole)).select(*keys, "ds", "y", "_rn", "_n", "_t", "_folds")
+
+
+def rolling_origin(series: DataFrame, n_splits: int = 3, test_size: int = 14, min_train: int = 30, keys: Sequence[str] = KEYS, season: int = 7) -> DataFrame:
+    """Back-test of both models: one row per series, split and model; n_splits does not change the plan.
+
+    Lines and steps of the folds come from prefix sums. The weekday index is a mean of ratios to the fold's own line, which no
+    difference of prefixes gives, so rows are paired with their folds inside the tasks that sorted them and only sums per fold
+    and weekday leave: the series is shuffled once. Residual spreads follow from the same sums.
+    """
+    keys = list(keys)
     fold_keys = [*keys, "split"]
-    train = folds.where(F.col("_rn") <= F.col("_start")).select(*fold_keys, "ds", "y")
-    test = folds.where((F.col("_rn") > F.col("_start")) & (F.col("_rn") <= F.col("_stop"))).select(*fold_keys, "ds", "y")
-    models = {"seasonal_naive": seasonal_naive(train, test_size, keys=fold_keys), "trend_weekday": trend_weekday_forecast(train, test_size, fold_keys)}
-    return reduce(DataFrame.unionByName, [forecast_metrics(f, test, train, fold_keys).withColumn("model", F.lit(name)) for name, f in models.items()])
+    rows = _fold_ends(series, n_splits, test_size, min_train, keys).withColumn("_f", F.explode("_folds"))
+    y, trend = F.col("y"), F.col("_f.base") + F.col("_f.slope") * F.col("_t")
+    train = (F.col("_rn") <= F.col("_f.start")) & y.isNotNull()
+    test = (F.col("_rn") > F.col("_f.start")) & (F.col("_rn") <= F.col("_f.start") + test_size)
+    both = train & trend.isNotNull()
+    part = lambda test, c: F.sum(F.when(test, c))
+    listed = lambda test, *c: F.collect_list(F.when(test, F.struct(*c)))
+    weekday = rows.groupBy(*keys, F.col("_f.split").alias("split"), F.weekday("ds").alias("_dow")).agg(
+        F.first("_f").alias("_f"), F.coalesce(F.avg(F.when(train, F.try_divide(y, trend))), F.lit(1.0)).alias("_index"),
+        F.count_if(both).alias("_m"), part(both, y).alias("_y"), part(both, trend).alias("_tr"), part(both, y * y).alias("_yy"),
+        part(both, y * trend).alias("_ytr"), part(both, trend * trend).alias("_trtr"),
+        listed(train & (F.col("_n") > F.col("_f.n") - season), "ds", "y").alias("_tail"), listed(test & y.isNotNull(), "ds", "y", "_t").alias("_test"))
+    index = F.col("_index")
+    resid, square = F.col("_y") - index * F.col("_tr"), F.col("_yy") - 2 * index * F.col("_ytr") + index * index * F.col("_trtr")
+    folds = weekday.groupBy(*fold_keys).agg(
+        F.first("_f").alias("_f"), F.map_from_entries(F.collect_list(F.struct("_dow", "_index"))).alias("_by_day"),
+        F.sum("_m").alias("_m"), F.sum(resid).alias("_r"), F.sum(square).alias("_rr"),
+        F.transform(F.array_sort(F.flatten(F.collect_list("_tail"))), lambda s: s["y"]).alias("_season"), F.flatten(F.collect_list("_test")).alias("_test"))
+    spread = F.try_divide(F.greatest(F.col("_rr") - F.col("_r") * F.try_divide(F.col("_r"), F.col("_m")), F.lit(0.0)), F.col("_m") - 1)
+    mean = F.aggregate("_season", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("_season"), F.lit(0))
+    days = folds.withColumns({"_sd": F.coalesce(F.sqrt(spread), F.lit(0.0)), "_mean": mean}).withColumn("_d", F.explode("_test"))
+    step = F.datediff("_d.ds", "_f.last")
+    repeated = F.when(F.size("_season") < season, F.col("_mean")).otherwise(F.try_element_at("_season", F.pmod(step - 1, F.lit(season)).cast("int") + 1))
+    line = (F.col("_f.base") + F.col("_f.slope") * F.col("_d._t")) * F.coalesce(F.try_element_at("_by_day", F.weekday("_d.ds")), F.lit(1.0))
+    made = lambda name, yhat, low, high: F.struct(F.lit(name).alias("model"), yhat.alias("yhat"), low.alias("low"), high.alias("high"))
+    forecasts = days.where(step.between(1, test_size)).select(*fold_keys, F.col("_d.y").alias("y"), F.col("_f.naive").alias("_naive"), F.explode(F.array(
+        made("seasonal_naive", repeated, repeated * 0.8, repeated * 1.2),
+        made("trend_weekday", line, line - BAND * F.col("_sd"), line + BAND * F.col("_sd")))).alias("_p")).select("*", "_p.*").where("yhat IS NOT NULL")
+    errors = forecasts.groupBy(*fold_keys, "model").agg(*_error_measures(F.col("y").between(F.col("low"), F.col("high"))), F.first("_naive").alias("_naive"))
+    return errors.withColumn("mase", F.try_divide("mae", "_naive")).drop("_naive")
 
 
 def backtest_summary(results: DataFrame) -> DataFrame:
