@@ -12,6 +12,7 @@ from cardlens.functions.scalars import (calendar_flags, is_missing, is_night, is
 from cardlens.operators.joins import (CARD_FEATURES, CARD_GRAPH, MERCHANT_GRAPH, attach_graph_features, join_card_features,
                                       txn_left_merchant_risk)
 from cardlens.operators.windows import sequence_features
+from cardlens.sources.bucketed import heavy_keys, join_stored, store_facts, store_features
 from cardlens.sources.model import CAPITAL_REGION, RISKY_MCC
 
 BASE_FEATURES = ["amount_uzs", "hour_num", "p2p_flag", "days_since_prev_txn", "amount_change_ratio", "amount_deviation",
@@ -139,6 +140,28 @@ def fraud_features(txn: DataFrame, cards: DataFrame | None = None, card_graph: D
     return _finish(df, ALL_FEATURES, ["transaction_id", "hpan", "transaction_date", "fraud_proxy"])
 
 
+def store_fraud_tables(txn: DataFrame, cards: DataFrame, card_graph: DataFrame, tables: Sequence[str], buckets: int = 200,
+                       paths: Sequence[str | None] = (None, None, None), slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transactions with their sequence columns, card features and card graph as tables bucketed by card.
+
+    Written once per refresh and joined as often as models need them; all three share buckets and heavy cards.
+    """
+    facts = calendar_flags(sequence_features(txn, slice_rows=slice_rows), RISKY_MCC, CAPITAL_REGION)
+    heavy = heavy_keys(txn, "hpan", buckets)
+    graph = card_graph.select("hpan", *[F.col(c).alias(f"card_{c}") for c in CARD_GRAPH])
+    return (store_facts(facts.withColumn("merchant_key", merchant_key(facts)), tables[0], "hpan", ["transaction_id"], heavy, buckets, paths[0]),
+            store_features(cards.select("hpan", *CARD_FEATURES), tables[1], "hpan", heavy, buckets, paths[1]),
+            store_features(graph, tables[2], "hpan", heavy, buckets, paths[2]))
+
+
+def fraud_features_stored(facts: DataFrame, cards: DataFrame, card_graph: DataFrame, merchant_graph: DataFrame) -> DataFrame:
+    """``fraud_features`` from the stored tables: cards meet without an exchange, only merchants need one."""
+    merchants = merchant_graph.select("merchant_key", *[F.col(c).alias(f"merch_{c}") for c in MERCHANT_GRAPH])
+    by_card = join_stored(join_stored(facts, cards, "hpan"), card_graph, "hpan")
+    kept = ["transaction_id", "hpan", "transaction_date", "fraud_proxy"]
+    return _finish(join_null_safe(by_card, merchants, ["merchant_key"], "left"), ALL_FEATURES, kept)
+
+
 def fraud_features_basic(txn: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The 12-column vector of the model comparison."""
     df = calendar_flags(sequence_features(txn, slice_rows=slice_rows), RISKY_MCC, CAPITAL_REGION)

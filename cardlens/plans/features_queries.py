@@ -1,4 +1,6 @@
 """Windows, set operations, joins, card and graph features, segments."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from cardlens.operators import features as f
@@ -7,8 +9,9 @@ from cardlens.operators import metrics as m
 from cardlens.operators import segments as s
 from cardlens.operators import setops as k
 from cardlens.operators import windows as w
-from cardlens.plans.registry import DIRTY, TXN, on_nulled, query, with_missing
+from cardlens.plans.registry import DIRTY, SQL, TXN, on_nulled, query, with_missing
 from cardlens.sources.model import last_day, transactions, transactions_dirty
+from cardlens.sources.writers import scratch
 
 CARD_COLUMNS = ["hpan", "transaction_date", "amount_uzs", "p2p_flag", "mcc", "merchant_name", "hour_num"]
 HORIZONS = (30, 90, 365)
@@ -359,6 +362,18 @@ def _(spark, d):
     return model_features(spark, d)
 
 
+@query("fraud_features_stored", SQL["fraud_features"])
+def _(spark, d):
+    """The same rows from tables bucketed by card."""
+    e = edges(spark, d)
+    merchants = f.merchant_graph_features(e)
+    run = uuid.uuid4().hex[:12]
+    names = [f"{n}_{run}" for n in ("facts", "card_features", "card_graph")]
+    stored = f.store_fraud_tables(transactions(spark, d, *FEATURE_SOURCE), cards(spark, d), f.card_graph_features(e, merchants), names, 16,
+                                  [scratch(spark, n) for n in names])
+    return f.fraud_features_stored(*stored, merchants)
+
+
 @query("fraud_features_basic", TXN + SEQUENCE + f"SELECT {BASE_COLUMNS}, CAST(mcc AS DOUBLE) AS mcc FROM base")
 def _(spark, d):
     return f.fraud_features_basic(transactions(spark, d, *FEATURE_SOURCE))
