@@ -1,13 +1,14 @@
 """Fraud models: splits, scaling, training, exact ranking metrics, calibration, thresholds and explanations."""
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -321,6 +322,62 @@ def reason_codes(model: PipelineModel, df: DataFrame, features: Sequence[str], k
     return framed.select(key, names(up).alias("raises"), names(down).alias("lowers"))
 
 
+def _node_value(node, weight: float, vote: bool) -> float:
+    """The tree's share of the margin if it ended at this node."""
+    if not vote:
+        return node.prediction() * weight
+    counts = list(node.impurityStats().stats())
+    return counts[1] / sum(counts) * weight
+
+
+def _path_steps(root, features: int, weight: float, vote: bool) -> list[list[float]]:
+    """For each leaf, left to right, what the steps of its path add by feature."""
+    leaves: list[list[float]] = []
+    todo = [(root, _node_value(root, weight, vote), [0.0] * features)]
+    while todo:
+        node, here, path = todo.pop()
+        if node.subtreeDepth() == 0:
+            leaves.append(path)
+            continue
+        asked = node.split().featureIndex()
+        for child in (node.rightChild(), node.leftChild()):  # the left one is taken next
+            there, added = _node_value(child, weight, vote), list(path)
+            added[asked] += there - here
+            todo.append((child, there, added))
+    return leaves
+
+
+def tree_contributions(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("transaction_id",)) -> DataFrame:
+    """(keep, margin, base, contributions): what each feature adds to the margin of the fitted trees, along the paths of the row.
+
+    Every step from a node to its child changes the node's value; the change belongs to the feature that is asked there. The
+    steps of all trees plus the values of their roots (``base``) are the margin: half the log odds of boosted trees, the
+    probability of a forest. The table of leaves has trees x leaves x features numbers, whatever the number of rows, and is a
+    constant of the plan; a row looks up one leaf per tree.
+    """
+    fitted = model.stages[-1]
+    vote = isinstance(fitted, RandomForestClassificationModel)
+    weights = [1.0 / len(fitted.trees)] * len(fitted.trees) if vote else [float(w) for w in fitted.treeWeights]
+    roots = [tree._call_java("rootNode") for tree in fitted.trees]
+    leaves = [_path_steps(root, len(features), weight, vote) for root, weight in zip(roots, weights)]
+    base = sum(_node_value(root, weight, vote) for root, weight in zip(roots, weights))
+    table = F.from_json(F.lit(json.dumps(leaves)), "array<array<array<double>>>")
+    scored = PipelineModel([*model.stages[:-1], fitted.copy().setLeafCol("_leaves")]).transform(df)
+    chosen = F.transform(vector_to_array("_leaves"), lambda leaf, tree: F.get(F.get(table, tree), leaf.cast("int")))
+    total = F.aggregate(chosen, F.array_repeat(F.lit(0.0), len(features)), lambda a, c: F.zip_with(a, c, lambda x, y: x + y))
+    margin = vector_to_array("probability" if vote else "rawPrediction")[1]
+    return scored.select(*keep, margin.alias("margin"), F.lit(base).alias("base"), total.alias("contributions"))
+
+
+def tree_reason_codes(model: PipelineModel, df: DataFrame, features: Sequence[str], k: int = 3, keep: Sequence[str] = ("transaction_id",)) -> DataFrame:
+    """The k features that raise and that lower the margin of each row's own tree score most; ties go by name."""
+    parts = tree_contributions(model, df, features, keep)
+    effects = [F.struct(F.col("contributions")[i].alias("effect"), F.lit(f).alias("feature")) for i, f in enumerate(features)]
+    rising = F.array_sort(F.transform(F.array(*effects), lambda s: F.struct((-s["effect"]).alias("effect"), s["feature"].alias("feature"))))
+    names = lambda a: F.concat_ws(",", F.transform(F.slice(F.filter(a, lambda s: s["effect"] < 0), 1, k), lambda s: s["feature"]))
+    return parts.select(*keep, "margin", "base", "contributions", names(rising).alias("raises"), names(F.array_sort(F.array(*effects))).alias("lowers"))
+
+
 def fraud_end_to_end(txn: DataFrame, window_days: int = 90, train_days: int = 120, valid_days: int = 30, as_of=None,
                      card_days: Sequence[int] = (7, 30, 90), features: Sequence[str] = ALL_FEATURES, kind: str = "gbt", **params) -> DataFrame:
     """Graph features → card features → model → calibration → thresholds: one summary row.

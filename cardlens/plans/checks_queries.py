@@ -106,6 +106,15 @@ def _(spark, d):
                      F.count_if((F.size(up) <= 3) & (F.size(down) <= 3)).alias("bounded"))
 
 
+@query("tree_reason_codes_check", TXN + "SELECT transaction_id, fraud_proxy, TRUE AS adds_up FROM txn")
+def _(spark, d):
+    """On every row the base and the contributions are the margin of the boosted trees."""
+    frame = model_features(spark, d)
+    parts = fr.tree_contributions(fr.train_fraud_model(frame, trees=5, depth=4), frame, f.ALL_FEATURES, keep=("transaction_id", "fraud_proxy"))
+    total = F.aggregate("contributions", F.col("base"), lambda a, c: a + c)
+    return parts.select("transaction_id", "fraud_proxy", F.coalesce(F.abs(total - F.col("margin")) < 1e-9, F.lit(False)).alias("adds_up"))
+
+
 @query("kmeans_segments_check", f"SELECT n AS cards, n AS nearest, TRUE AS within_k FROM {CARDS}")
 def _(spark, d):
     """Every card has a cluster, and no centre is nearer to it than that of its own."""
