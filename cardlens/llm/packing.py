@@ -1,8 +1,9 @@
 """Packing token sequences: first-fit decreasing in randomised groups of documents.
 
-Texts are tokenised where they lie; what is shuffled are pieces, some tens of bytes each. Pieces of at most ``size`` ids
-are dealt by hash into groups of some thousands, and each group is packed by itself with a tournament tree over the space
-left in its bins.
+Texts are tokenised where they lie; what is shuffled are pieces, some tens of bytes each. The rests of documents, at most
+one of each and shorter than ``size``, are dealt by hash into groups of some thousands, and each group is packed by itself
+with a tournament tree over the space left in its bins. Full pieces fill a sequence each and are only numbered, in groups
+that follow the bytes of the texts, so that long documents make more groups and not larger ones.
 """
 from __future__ import annotations
 
@@ -146,12 +147,14 @@ def first_fit_decreasing(lengths: list[int], size: int) -> tuple[list[int], list
     return bins, offsets
 
 
-def pack(pieces: DataFrame, groups: int, size: int = SIZE) -> DataFrame:
+def pack(pieces: DataFrame, rest_groups: int, full_groups: int, size: int = SIZE) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``; each group is one task's small table, packed by itself.
 
     Ties in length go by start, checksum and then id, so equal input gives equal packing.
     """
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "start", "ids_crc32", "copy"), F.lit(groups)))
+    number = F.xxhash64("_id", "start", "ids_crc32", "copy")
+    full = F.col("length") == size
+    dealt = pieces.withColumn("_group", F.when(full, rest_groups + F.pmod(number, F.lit(full_groups))).otherwise(F.pmod(number, F.lit(rest_groups))))
 
     def run(table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
@@ -159,9 +162,12 @@ def pack(pieces: DataFrame, groups: int, size: int = SIZE) -> DataFrame:
         by_id = table.take(pc.sort_indices(table, [("_id", "ascending")]))
         order = np.lexsort([by_id[c].to_numpy() * sign for c, sign in (("ids_crc32", 1), ("start", 1), ("length", -1))])
         table = by_id.take(pa.array(order))
-        bins, offsets = first_fit_decreasing(table["length"].to_pylist(), size)
-        first = table["_group"][0].as_py() << 32
-        return table.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64())).append_column(
+        group = table["_group"][0].as_py()
+        if group >= rest_groups:
+            bins, offsets = np.arange(table.num_rows), np.zeros(table.num_rows, np.int64)
+        else:
+            bins, offsets = map(np.array, first_fit_decreasing(table["length"].to_pylist(), size))
+        return table.append_column("sequence_id", pa.array((group << 32) + bins, pa.int64())).append_column(
             "offset", pa.array(offsets, pa.int64())).drop_columns(["_group"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
@@ -172,12 +178,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                    with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``ids`` on request).
 
-    The number of groups follows the row count. Sequences are gapless from 0; a sequence shorter than ``size`` is to be
-    padded at its end. NULL and empty texts have one id, the end; repeated rows are packed each; an empty table gives no pieces;
-    other columns are not looked at.
+    The groups of rests follow the row count, those of full pieces the bytes of the texts, as a token has a byte or more.
+    Sequences are gapless from 0; a sequence shorter than ``size`` is to be padded at its end. NULL and empty texts have one
+    id, the end; repeated rows are packed each; an empty table gives no pieces; other columns are not looked at.
     """
-    groups = max(1, -(-docs.count() // GROUP))
-    packed = pack(cut(docs, tokenizer_path, id_col, text_col, size, with_ids), groups, size)
+    rows, weight = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    groups = [max(1, -(-n // GROUP)) for n in (rows, weight // size)]
+    packed = pack(cut(docs, tokenizer_path, id_col, text_col, size, with_ids), *groups, size)
     return packed.select(F.col("_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
                          *["ids"] * with_ids)
 

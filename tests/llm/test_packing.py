@@ -66,6 +66,23 @@ def test_repeats_and_empty(spark):
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
 
 
+def test_long_documents_make_groups_and_not_large_ones(spark, monkeypatch):
+    """Three hundred texts, some of exactly a whole number of sequences, with groups of some 64 pieces."""
+    monkeypatch.setattr(packing, "GROUP", 64)
+    r = random.Random(7)
+    texts = {i: "word " * (r.choice([2047, 4095, 2048, 9000, 30]) if i % 3 else r.randint(0, 12000)) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(docs, PATH).collect()
+    used, padding = check(rows, texts)
+    assert padding < 0.05 * used
+    full = defaultdict(list)
+    for row in rows:
+        full[row["sequence_id"] >> 32].append(row["length"])
+    rests = [g for g, n in full.items() if packing.SIZE not in n]
+    assert len(rests) <= 5 and max(rests) < min(set(full) - set(rests))
+    assert all(set(n) == {packing.SIZE} for g, n in full.items() if g not in rests) and max(map(len, full.values())) < 160
+
+
 def test_sequences_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50)
     packed = packing.pack_documents(docs, PATH, with_ids=True).cache()
