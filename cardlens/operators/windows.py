@@ -66,24 +66,41 @@ def top_mcc_per_card(df: DataFrame, card: str = "hpan") -> DataFrame:
 
 def sequence_features(df: DataFrame, card: str = "hpan", stamp: str = "transaction_time",
                       tie: str = "transaction_id", slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Previous-row gap and ratio and mean of the last ten rows, from slices of a card's time, and the ordinal in the hour,
-    which is counted before on (card, day, hour). Rows without time come before all others of their card."""
+    """Previous-row gap and ratio and mean of the last ten rows of the card, and the ordinal in the hour, which is counted on
+    (card, day, hour). Rows without time come before all others of their card.
+
+    Cards of at most ``slice_rows`` rows are whole in one task, so their rows move once for all windows. Larger cards, of
+    which there are fewer than rows / ``slice_rows``, are looked for while the plan is built; their time is cut into slices.
+    """
+    counts = df.groupBy(card).agg(F.count("*").alias("_n"))
+    heavy = [r[0] for r in counts.where(F.col("_n") > slice_rows).select(card).collect()]
+    # The windows by card come first: what is clustered by card is clustered by (card, day, hour) too.
+    whole = lambda rows: _in_hour(_in_order(rows, [card], stamp, tie), card, stamp, tie)
+    if not heavy:
+        return whole(df)
+    large = F.coalesce(F.col(card).isin(*[h for h in heavy if h is not None]), F.lit(None in heavy))
+    sliced, parts = time_slices(_in_hour(df.where(large), card, stamp, tie), card, stamp, [stamp, tie], 9, slice_rows)
+    timed = own_rows(_in_order(sliced, parts, stamp, tie))
+    return whole(df.where(~large)).unionByName(timed)
+
+
+def _in_hour(df: DataFrame, card: str, stamp: str, tie: str) -> DataFrame:
     in_hour = W.partitionBy(card, "transaction_date", "hour_num").orderBy(stamp, tie)
-    counted = df.withColumn("txn_hour_count", F.row_number().over(in_hour))
-    sliced, parts = time_slices(counted, card, stamp, [stamp, tie], 9, slice_rows)
+    return df.withColumn("txn_hour_count", F.row_number().over(in_hour))
+
+
+def _in_order(df: DataFrame, parts: Sequence[str], stamp: str, tie: str) -> DataFrame:
+    """The columns that follow from the rows of each part in order."""
     by_time = W.partitionBy(*parts).orderBy(stamp, tie)
     last_ten = by_time.rowsBetween(-9, 0)
     amount = F.col("amount_uzs").cast("double")
-    previous = F.lag("amount_uzs").over(by_time)
     nonzero = lambda c: F.when(c == 0, 1.0).otherwise(c)
     mean_ten = ratio(F.sum("amount_uzs").over(last_ten), F.count("amount_uzs").over(last_ten))
-    return own_rows(
-        sliced.withColumns({
-            "_days": F.datediff("transaction_date", F.lag("transaction_date").over(by_time)),
-            "prev_amount": previous,
-            "card_avg_amount": mean_ten,
-        })
-    ).withColumns({
+    return df.withColumns({
+        "_days": F.datediff("transaction_date", F.lag("transaction_date").over(by_time)),
+        "prev_amount": F.lag("amount_uzs").over(by_time),
+        "card_avg_amount": mean_ten,
+    }).withColumns({
         "days_since_prev_txn": F.coalesce(F.col("_days"), F.lit(999)),
         "amount_change_ratio": F.coalesce(amount / nonzero(F.col("prev_amount").cast("double")), F.lit(1.0)),
         "amount_deviation": amount / nonzero(F.col("card_avg_amount")),

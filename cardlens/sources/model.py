@@ -116,9 +116,14 @@ def _joined(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     for name in names:
         if COLUMNS[name][0]:
             need(COLUMNS[name][0])
-    fact = table(spark, sf_dir, "lineitem")
-    return reduce(
-        lambda left, t: left.join(table(spark, sf_dir, t), F.col(_LINKS[t][0]) == F.col(_LINKS[t][1])), needed, fact)
+    meet = lambda left, t: left.join(table(spark, sf_dir, t), F.col(_LINKS[t][0]) == F.col(_LINKS[t][1]))
+    # What hangs on orders is joined to orders, so that the fact table, the largest one, moves once for the whole chain.
+    chain = [t for t in needed if _LINKS[t][2]]
+    fact = reduce(meet, [t for t in needed if t != "orders" and t not in chain], table(spark, sf_dir, "lineitem"))
+    if "orders" not in needed:
+        return fact
+    orders = reduce(meet, chain, table(spark, sf_dir, "orders"))
+    return fact.join(orders, F.col(_LINKS["orders"][0]) == F.col(_LINKS["orders"][1]))
 
 
 def transactions(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
