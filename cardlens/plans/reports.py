@@ -12,6 +12,7 @@ from cardlens.operators import metrics as m
 from cardlens.operators import quality as q
 from cardlens.operators import stats as st
 from cardlens.operators.windows import pct_change
+from cardlens.sources.writers import stored
 
 
 def _long(df: DataFrame, section: str, key: Column, metric: str, current: Column, previous: Column | None = None, change: Column | None = None) -> DataFrame:
@@ -60,7 +61,11 @@ def dq_report(raw: DataFrame, typed: DataFrame, as_of=None, large: float = 1_000
 
 
 def analysis_report(df: DataFrame, top: int = 10) -> DataFrame:
-    """Ten sections in long form: totals, transfers, codes, banks, regions, merchants, hours, gender, responses, fill rates."""
+    """Ten sections in long form: totals, transfers, codes, banks, regions, merchants, hours, gender, responses, fill rates.
+
+    The rows are written once, so that each section reads its own columns and no section joins them again.
+    """
+    df = stored(df, "rows")
     return m.union_reports({
         "general": m.general_stats(df), "p2p": m.p2p_split(df), "mcc": m.top_by(df, "mcc", top).withColumn("mcc", F.col("mcc").cast("string")),
         "bank": m.top_by(df, "emitent_bank", top), "region": m.top_by(df, "emitent_region", top), "merchant": m.top_by(df, "merchant_name", top),

@@ -84,3 +84,10 @@ def test_unread_bands_stay(spark, monkeypatch):
     asked = spark.createDataFrame([("q", "a1 b1"), ("r", "c7 b2")], "query_id string, text string")
     assert {r.chunk_id for r in text.retrieve_batch(asked, vocab, index, k=1).collect()} == {"c1", "c7"}
     assert not [c for c in made if "_rest" in c]
+
+
+def test_sections_and_stages_read_stored_rows(spark):
+    load_all()
+    for name in ("analysis_report", "improvement_scores"):
+        found = PLANS[name](spark, "/root/testdata/sf0.001")
+        assert "lineitem" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 1
