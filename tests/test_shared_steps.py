@@ -8,6 +8,7 @@ from cardlens.operators.joins import CARD_FEATURES, CARD_GRAPH, MERCHANT_GRAPH
 from cardlens.operators.windows import sequence_features
 from cardlens.plans import load_all
 from cardlens.plans.registry import PLANS
+from cardlens.sources.model import MCC_CODES
 
 
 def payments(spark, cards=30):
@@ -88,6 +89,18 @@ def test_unread_bands_stay(spark, monkeypatch):
 
 def test_sections_and_stages_read_stored_rows(spark):
     load_all()
-    for name in ("analysis_report", "improvement_scores"):
+    for name, scans in (("analysis_report", 2), ("improvement_scores", 0)):  # the report's codes, and their whole
         found = PLANS[name](spark, "/root/testdata/sf0.001")
-        assert "lineitem" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 1
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("l_partkey") < 20 * scans + 1 and found.count() > 1
+
+
+def test_missing_codes_stay_missing_in_the_report(spark, tmp_path):
+    folder = str(tmp_path)
+    for name in ("lineitem", "orders", "customer", "nation", "region", "supplier", "part"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        rows = rows.withColumn("p_size", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))) if name == "part" else rows
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    sizes = spark.read.parquet(f"{folder}/lineitem.parquet").join(spark.read.parquet(f"{folder}/part.parquet"), F.col("l_partkey") == F.col("p_partkey")).where("p_size IS NOT NULL")
+    found = PLANS["analysis_report"](spark, folder).where("section = 'mcc' AND metric = 'transactions'").collect()
+    want = {str(MCC_CODES[r.i]): r["count"] for r in sizes.groupBy((F.col("p_size") % 20).alias("i")).count().collect()}
+    assert len(found) == 10 and all(want[r.key] == r.value for r in found)
