@@ -16,3 +16,14 @@ def spark():
     session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8"})
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True, scope="module")
+def _no_leftovers():
+    """Frames that tests of one module keep in memory are dropped before the next, which may look for leftovers of its own."""
+    yield
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.catalog.clearCache()
