@@ -32,7 +32,7 @@ SELECT user_id AS card, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strfti
 FROM w GROUP BY user_id, s HAVING count(*) > 1 AND s + INTERVAL 1 HOUR <= {CLOSED}""")
 def _(spark, d):
     path = writers.scratch(spark, "alerts")
-    jobs.run_to_end(jobs.velocity_alerts_stream(event_stream(spark, d), 1), path, writers.scratch(spark, "progress"))
+    jobs.run_to_end(jobs.velocity_alerts_stream(event_stream(spark, d), 1), path, writers.scratch(spark, "progress"), keyed_state=True)
     return spark.read.parquet(path)
 
 

@@ -130,3 +130,54 @@ def test_trailing_counts_equal_the_batch_rule(spark, tmp_path):
             if x.event_time.replace(second=0) + dt.timedelta(minutes=1) < closed}
     got = [(x.card, x.event_time, x.velocity_count) for x in spark.read.parquet(path).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({c for c, _, _ in want}) > 2
+
+
+def progress_of(query, *names):
+    """The largest value of each state figure over the batches of a run."""
+    found = [op for p in query.recentProgress for op in p["stateOperators"]]
+    return [max(int(op["customMetrics"].get(n, op.get(n, 0))) for op in found) for n in names]
+
+
+@pytest.mark.parametrize("span,slide", [("1 hour", "5 minutes"), ("25 minutes", "10 minutes"), ("10 minutes", "10 minutes")])
+def test_sliding_alerts_equal_the_batch_rule(spark, tmp_path, span, slide):
+    """Rows arrive in several batches, out of order within the watermark; the watermark ends on the end of a window."""
+    r = random.Random(5)
+    begin = dt.datetime(2024, 3, 1)
+    rows = [(begin + dt.timedelta(seconds=r.randint(0, 4 * 3600), milliseconds=r.randint(0, 999)), r.choice(["hot", "hot", "a", "b", None])) for _ in range(400)]
+    rows.sort(key=lambda x: x[0] + dt.timedelta(seconds=r.randint(-240, 240)))
+    rows += [(None, "a")] * 9 + [(begin + dt.timedelta(hours=5), "b")]
+    schema = "event_time timestamp, card string"
+    source, path, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for step in range(4):
+        spark.createDataFrame(rows[step * 103:(step + 1) * 103], schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.run_to_end(jobs.velocity_alerts_stream(spark.readStream.schema(schema).parquet(source), 2, span, slide), path, progress, keyed_state=True)
+    closed = begin + dt.timedelta(hours=5) - dt.timedelta(minutes=10)
+    windows = spark.createDataFrame(rows, schema).groupBy(F.window("event_time", span, slide).alias("w"), "card").count().where("count > 2").collect()
+    want = {(x.card, x.w.start, x.w.end, x["count"]) for x in windows if x.w.end <= closed}
+    got = [tuple(x) for x in spark.read.parquet(path).select("card", "window_start", "window_end", "n").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({c for c, *_ in want}) > 2
+
+
+def test_late_rows_count_in_open_windows_only(spark, tmp_path):
+    begin = dt.datetime(2024, 3, 1)
+    at = lambda *minutes: [(begin + dt.timedelta(minutes=m), "c") for m in minutes]
+    source, path, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for batch in (at(1, 50), at(2, 41, 44), at(120)):  # after the first batch the watermark is at minute 40
+        spark.createDataFrame(batch, "event_time timestamp, card string").coalesce(1).write.mode("append").parquet(source)
+        events = spark.readStream.schema("event_time timestamp, card string").parquet(source)
+        jobs.run_to_end(jobs.velocity_alerts_stream(events, 1, "30 minutes", "15 minutes"), path, progress, keyed_state=True)
+    got = sorted(((x.window_start - begin).total_seconds() // 60, x.n) for x in spark.read.parquet(path).collect())
+    assert got == [(15, 2), (30, 3)]
+
+
+def test_state_does_not_grow_by_window_or_minute(spark, tmp_path):
+    """A backlog of one row an hour for each of three cards: one list and one timer for a group of cards."""
+    begin = dt.datetime(2024, 3, 1)
+    rows = [(begin + dt.timedelta(hours=h), c) for h in range(200) for c in "abc"]
+    spark.createDataFrame(rows, "event_time timestamp, card string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    for name, alerts in (("sliding", jobs.velocity_alerts_stream), ("trailing", jobs.trailing_velocity_stream)):
+        events = spark.readStream.schema("event_time timestamp, card string").parquet(str(tmp_path / "in"))
+        query = jobs.run_to_end(alerts(events, 0), str(tmp_path / name), str(tmp_path / f"{name}-progress"), keyed_state=True)
+        timers, kept = progress_of(query, "numRegisteredTimers", "numRowsTotal")
+        assert 0 < timers <= 6 and kept <= 18
+        assert spark.read.parquet(str(tmp_path / name)).count() > 500
