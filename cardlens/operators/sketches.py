@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SKETCH_BITS = 14  # 2^14 registers, of four to eight bits each
@@ -60,9 +61,26 @@ def estimates(states: DataFrame) -> DataFrame:
     return states.select(*[F.hll_sketch_estimate(c).alias(f"unique_{c.removesuffix('_sketch')}") if c.endswith("_sketch") else F.col(c) for c in states.columns])
 
 
-def exact_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def exact_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], day: str | None = None, days: int = 1) -> DataFrame:
     """Exact ``unique_<column>`` per key, of all columns from one table of (key, column, value), so that a row is not expanded
-    for each aggregate and equal values are combined before the shuffle."""
-    text = df.select(*keys, *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)])
-    values = text.unpivot(list(keys), [f"_c{i}" for i in range(len(columns))], "_column", "_value").groupBy(*keys, "_column", "_value").agg(F.lit(1).alias("_one"))
-    return values.groupBy(*keys).agg(*[F.count(F.when(F.col("_column") == f"_c{i}", F.col("_value"))).alias(f"unique_{c}") for i, c in enumerate(columns)])
+    for each aggregate and equal values are combined before the shuffle.
+
+    With ``day`` one row per key and day with rows, counting the trailing ``days``. Rows are not copied to the days they count
+    in: a value counts from each of its days until its next one or the end of the span, whichever comes first, so each of its
+    days adds one and takes one away again, and the counts are running sums over the days.
+    """
+    held = [*keys, *([day] if day else [])]
+    text = df.select(*held, *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)])
+    values = text.unpivot(held, [f"_c{i}" for i in range(len(columns))], "_column", "_value").groupBy(*held, "_column", "_value").agg(F.lit(1).alias("_one"))
+    if day is None:
+        return values.groupBy(*keys).agg(*[F.count(F.when(F.col("_column") == f"_c{i}", F.col("_value"))).alias(f"unique_{c}") for i, c in enumerate(columns)])
+    over = F.date_add(day, days)
+    after = F.least(F.lead(day).over(W.partitionBy(*keys, "_column", "_value").orderBy(day)), over)  # least passes over NULL
+    counted = F.col("_value").isNotNull().cast("int")
+    step = lambda at, n, has_rows: F.struct(at.alias(day), n.alias("_n"), F.lit(has_rows).alias("_rows"))
+    ends = values.where(F.col(day).isNotNull()).withColumn("_after", after).select(
+        *keys, "_column", F.inline(F.array(step(F.col(day), counted, True), step(F.col("_after"), -counted, False))))
+    steps = ends.groupBy(*keys, day).agg(F.max("_rows").alias("_rows"), *[
+        F.coalesce(F.sum(F.when(F.col("_column") == f"_c{i}", F.col("_n"))), F.lit(0)).alias(f"_s{i}") for i in range(len(columns))])
+    line = W.partitionBy(*keys).orderBy(day)  # days with their sums, not rows
+    return steps.select(*held, "_rows", *[F.sum(f"_s{i}").over(line).alias(f"unique_{c}") for i, c in enumerate(columns)]).where("_rows").drop("_rows")

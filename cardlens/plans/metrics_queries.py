@@ -341,7 +341,5 @@ FROM dd JOIN txn ON transaction_date BETWEEN d - 6 AND d GROUP BY d""")
 def _(spark, d):
     df = transactions(spark, d, "transaction_date", "card_masked", "merchant_id", "amount")
     rolled = sk.rolling_states(sk.daily_states(df, [], SKETCHED), [], 7)
-    days = df.select(F.col("transaction_date").alias("d")).distinct()
-    spread = df.withColumn("d", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.date_add("transaction_date", i)))).join(days, "d", "left_semi")
-    exact = sk.exact_counts(spread, ["d"], SKETCHED).withColumnRenamed("d", "transaction_date")
+    exact = sk.exact_counts(df, [], SKETCHED, day="transaction_date", days=7)
     return _near(rolled, exact, ["transaction_date"]).select("transaction_date", "transactions", "volume", F.col("_card_masked").alias("cards"), "card_masked_near")

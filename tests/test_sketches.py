@@ -76,3 +76,27 @@ def test_sketched_profile_shuffles_no_values(spark):
     out.collect()
     metrics = out._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in metrics and "unpivot" not in metrics.lower()
+
+
+def test_trailing_counts_are_exact(spark):
+    """Values that come again within and after the span, NULL values, NULL days and days with none but NULL values."""
+    data = [*rows(2000), (dt.date(2024, 3, 1), "a", None, None, 1.0), (None, "a", "c1", 1, 1.0)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for keys, days in (([], 1), ([], 4), (["company"], 3), (["company"], 40)):
+        found = sketches.exact_counts(df, keys, ["card", "shop"], day="transaction_date", days=days)
+        got = {(x.transaction_date, *[x[k] for k in keys]): (x.unique_card, x.unique_shop) for x in found.collect()}
+        want = {}
+        for key in {(x[0], *([x[1]] if keys else [])) for x in data if x[0]}:
+            own = [x for x in data if x[0] and dt.timedelta(0) <= key[0] - x[0] < dt.timedelta(days) and (not keys or x[1] == key[1])]
+            want[key] = (len({x[2] for x in own} - {None}), len({x[3] for x in own} - {None}))
+        assert got == want
+
+
+def test_trailing_counts_copy_no_rows(spark):
+    """Rows are not spread over the days of the span: what is shuffled does not depend on it."""
+    df = spark.createDataFrame(rows(500), SCHEMA)
+    def largest(days):
+        plan = sketches.exact_counts(df, [], ["card"], day="transaction_date", days=days)
+        plan.collect()
+        return plan._jdf.queryExecution().executedPlan().toString().count("Generate")
+    assert largest(3) == largest(300) and "sequence" not in sketches.exact_counts(df, [], ["card"], day="transaction_date", days=300)._jdf.queryExecution().optimizedPlan().toString()
