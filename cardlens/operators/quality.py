@@ -94,7 +94,7 @@ def _column_states(df: DataFrame) -> DataFrame:
 def _with_exact_distinct(states: DataFrame, df: DataFrame, deal_by: str | None) -> DataFrame:
     """The sketches replaced by exact counts: every different value of every column is shuffled."""
     dealt = df if deal_by is None else df.repartition(F.col(f"`{deal_by}`"))
-    exact = _value_table(dealt).groupBy("column").agg(F.count("value").alias("distinct_values"))
+    exact = _value_table(dealt).select("column", "value").groupBy("column").agg(F.count("value").alias("distinct_values"))
     return states.drop("distinct_values").join(exact, "column", "left").na.fill(0, ["distinct_values"])
 
 
