@@ -1,8 +1,13 @@
 """Steps that many queries share: rows move once for windows and joins by card, and frames that jobs read again are written once."""
 import datetime as dt
+import math
+import random
+import re
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cardlens.functions.scalars import hash_number
 from cardlens.operators import features, fraud, text
 from cardlens.operators.joins import CARD_FEATURES, CARD_GRAPH, MERCHANT_GRAPH
 from cardlens.operators.windows import sequence_features
@@ -104,3 +109,33 @@ def test_missing_codes_stay_missing_in_the_report(spark, tmp_path):
     found = PLANS["analysis_report"](spark, folder).where("section = 'mcc' AND metric = 'transactions'").collect()
     want = {str(MCC_CODES[r.i]): r["count"] for r in sizes.groupBy((F.col("p_size") % 20).alias("i")).count().collect()}
     assert len(found) == 10 and all(want[r.key] == r.value for r in found)
+
+
+def test_permuted_rows_of_trees_move_as_cells(spark):
+    """The same importances as by moving whole rows; of what the trees know neither keys nor values move."""
+    r = random.Random(8)
+    rows = [(f"t{i}", r.random(), float(r.randint(0, 3)), r.randint(0, 90), r.uniform(-5, 5)) for i in range(2000)]
+    rows = [(*x, int(x[1] + x[2] / 4 + r.random() > 1.3) if i % 50 else None) for i, x in enumerate(rows)]
+    df = spark.createDataFrame(rows, "transaction_id string, a double, b double, c int, unused double, fraud_proxy int")
+    model = fraud.train_fraud_model(df.where("fraud_proxy IS NOT NULL"), ["a", "b", "c"], kind="forest", trees=3, depth=4)
+    found = fraud.permutation_importance(model, df, ["a", "c", "unused"], group_rows=100).collect()
+    auc = lambda frame: fraud.classification_metrics(fraud.score(model, frame)).first().roc_auc
+    whole, want = auc(df), {}
+    for i, name in enumerate(["a", "c"]):
+        mixed = W.partitionBy(hash_number("transaction_id", f"42g{i}") % 20).orderBy(hash_number("transaction_id", f"42o{i}"), "transaction_id")
+        want[name] = whole - auc(df.withColumn(name, F.coalesce(F.lag(name).over(mixed), F.col(name))))
+    assert {x.feature: x.importance for x in found} == {**want, "unused": 0.0} and want["a"] > 0.05
+    plan = spark._jvm.PythonSQLUtils.explainString(fraud.permutation_importance(model, df, ["a", "c"])._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning", plan)
+    assert len(moved) >= 2 and not [m for m in moved if re.search(r"transaction_id|\b[abc]#", m)]
+
+
+def test_cells_between_thresholds_keep_the_side(spark):
+    """Values at, just above and beyond the thresholds, and more cells than one number holds."""
+    edges = {f"x{j}": sorted(random.Random(j).sample([-1e300, -2.5, 0.0, 1e-9, 3.0, 7.0, 1e18], j % 8)) for j in range(40)}
+    codes, read = fraud._tree_codes(edges)
+    marks = [-math.inf, math.inf, math.nan, -0.0, *[f(t) for t in (-1e300, -2.5, 0.0, 1e-9, 3.0, 7.0, 1e18) for f in (float, lambda t: math.nextafter(t, math.inf))]]
+    df = spark.createDataFrame([[random.Random(i * 50 + j).choice(marks) for j in range(40)] for i in range(60)], ", ".join(f"x{j} double" for j in range(40)))
+    names = [f"_code{c}" for c in range(len(codes))]
+    seen = df.select("*", *[c.alias(n) for c, n in zip(codes, names)]).select("*", *[v(names).alias(f"_{n}") for n, v in read.items()]).collect()
+    assert len(codes) > 1 and all((x[n] <= t) == (x[f"_{n}"] <= t) for x in seen for n, ts in edges.items() for t in ts)
