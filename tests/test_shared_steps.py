@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow.parquet as pq
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from cardlens.operators.windows import sequence_features
 from cardlens.plans import load_all
 from cardlens.plans.registry import PLANS
 from cardlens.sources.model import MCC_CODES
+from cardlens.sources.writers import stored
 
 
 def payments(spark, cards=30):
@@ -67,6 +69,15 @@ def test_fits_read_stored_features(spark):
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
 
 
+def test_stored_rows_are_whole_and_packed_closely(spark):
+    frame = features.fraud_features_basic(payments(spark))
+    found = stored(frame, "features")
+    assert found.dtypes == frame.dtypes and found.count() == 600
+    assert found.exceptAll(frame).isEmpty() and frame.exceptAll(found).isEmpty()
+    columns = [c for p in found.inputFiles() for c in pq.ParquetFile(p.removeprefix("file://")).metadata.row_group(0).to_dict()["columns"]]
+    assert {c["compression"] for c in columns} == {"ZSTD"}
+
+
 def test_vocabulary_from_candidates(spark):
     """Terms of all chunks, of many places in few chunks and ties at the edge; only candidates are counted by chunk."""
     rows = [(f"c{i % 50}", f"everywhere always word{i % 7} rare{i}" + (" burst" * 40 if i < 3 else "")) for i in range(60)]
