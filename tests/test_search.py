@@ -1,7 +1,13 @@
-"""Successive halving finds a planted optimum and spends its rows rung by rung."""
+"""Successive halving finds a planted optimum and spends its rows rung by rung; registered fits are whole."""
+import inspect
 import random
 
+import pytest
+from conftest import SMALL
+
 from cardlens.operators import fraud
+from cardlens.plans import load_all
+from cardlens.plans.registry import PLANS
 
 
 def test_planted_optimum(spark):
@@ -17,3 +23,23 @@ def test_planted_optimum(spark):
     scored = fraud.score(model, df)
     assert scored.where("(score >= 0.5) = (y = 1)").count() > 1300
     assert not [x for x in spark.sparkContext._jsc.getPersistentRDDs().values()]
+
+
+@pytest.mark.parametrize("name", ["train_fraud_model"])
+def test_models_are_fitted_in_full(spark, monkeypatch, name):
+    """The registered queries fit with the operator's own number and depth of trees."""
+    class Asked(Exception):
+        pass
+
+    whole = inspect.signature(fraud.learner)
+
+    def asked(*args, **params):
+        given = whole.bind(*args, **params)
+        given.apply_defaults()
+        raise Asked(given.arguments["trees"], given.arguments["depth"])
+
+    load_all()
+    monkeypatch.setattr(fraud, "learner", asked)
+    with pytest.raises(Asked) as found:
+        PLANS[name](spark, SMALL)
+    assert found.value.args == (whole.parameters["trees"].default, whole.parameters["depth"].default) == (50, 6)
