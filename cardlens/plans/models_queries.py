@@ -116,7 +116,7 @@ def _(spark, d):
 @query("benchmark_models")
 def _(spark, d):
     train, valid = fr.temporal_split(basic(spark, d), 1500, 365, as_of=last_day(spark, d))
-    return fr.benchmark_models(train, valid, f.BASIC_FEATURES, trees=5, depth=4)
+    return fr.benchmark_models(train, valid, f.BASIC_FEATURES)
 
 
 @query("tune_fraud_model")

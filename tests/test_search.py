@@ -25,7 +25,7 @@ def test_planted_optimum(spark):
     assert not [x for x in spark.sparkContext._jsc.getPersistentRDDs().values()]
 
 
-@pytest.mark.parametrize("name", ["train_fraud_model"])
+@pytest.mark.parametrize("name", ["train_fraud_model", "benchmark_models"])
 def test_models_are_fitted_in_full(spark, monkeypatch, name):
     """The registered queries fit with the operator's own number and depth of trees."""
     class Asked(Exception):
