@@ -3,8 +3,11 @@ import datetime as dt
 import math
 import random
 import re
+import time
 
 import pyarrow.parquet as pq
+import pytest
+from conftest import SMALL
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +16,9 @@ from cardlens.operators import features, fraud, text
 from cardlens.operators.joins import CARD_FEATURES, CARD_GRAPH, MERCHANT_GRAPH
 from cardlens.operators.windows import sequence_features
 from cardlens.plans import load_all
+from cardlens.plans.features_queries import model_features
 from cardlens.plans.registry import PLANS
+from cardlens.session import cut_lineage
 from cardlens.sources.model import MCC_CODES
 from cardlens.sources.writers import stored
 
@@ -78,6 +83,28 @@ def test_stored_rows_are_whole_and_packed_closely(spark):
     assert {c["compression"] for c in columns} == {"ZSTD"}
 
 
+@pytest.mark.parametrize("written", [cut_lineage, lambda df: stored(df, "rows")])
+def test_written_rows_leave_no_shuffle(spark, written):
+    """Rows that are written out free the shuffles behind them; the frame they came from can still be read."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(b.name()) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllBlocks()) if "shuffle_" in b.name()}
+    before = files()
+    df = spark.range(5000).select((F.col("id") % 700).alias("k")).repartition(3, "k")
+    found = written(df)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)  # files go in the background
+    assert not left and found.count() == df.count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_model_features_join_transactions_once(spark):
+    """Windows and joins by card read the written transactions, cards and graph, not the tables."""
+    plan = model_features(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\b[lopsc]_\w+key#", plan)
+
+
 def test_vocabulary_from_candidates(spark):
     """Terms of all chunks, of many places in few chunks and ties at the edge; only candidates are counted by chunk."""
     rows = [(f"c{i % 50}", f"everywhere always word{i % 7} rare{i}" + (" burst" * 40 if i < 3 else "")) for i in range(60)]
