@@ -81,7 +81,7 @@ QUESTION = "is the merchant that he and retitioning ont thon er"
 
 
 def _hits(spark, d):
-    vocab, index = t.tfidf_index(_chunks(spark, d), stop_words=STOPS)
+    vocab, index = t.tfidf_index(_chunks(spark, d), stop_words=STOPS, packed=True)
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return t.retrieve_batch(queries, vocab, index, stop_words=STOPS)
 
@@ -93,7 +93,7 @@ def _(spark, d):
 
 @query("retrieve", INDEX + ASKED.replace("{queries}", f"SELECT 'q' AS query_id, '{QUESTION}' AS text") + "SELECT chunk_id, similarity, rank FROM hit")
 def _(spark, d):
-    vocab, index = t.tfidf_index(_chunks(spark, d), stop_words=STOPS)
+    vocab, index = t.tfidf_index(_chunks(spark, d), stop_words=STOPS, packed=True)
     return t.retrieve(QUESTION, vocab, index, stop_words=STOPS)
 
 

@@ -65,3 +65,46 @@ def test_documents_are_read_once(spark):
     vocab, index = t.tfidf_index(tq._chunks(spark, MIDDLE), stop_words=tq.STOPS)
     plan = index._jdf.queryExecution().toString() + vocab._jdf.queryExecution().toString()
     assert "documents.parquet" not in plan
+
+
+@pytest.mark.parametrize("k,min_sim,parts,queries,at_once", [(5, 0.1, 1 << 18, 1000, 4096), (50, 0.0, 7, 9, 3), (200, 0.2, 64, 20, 100)])
+def test_packed_same_as_all_products(spark, monkeypatch, k, min_sim, parts, queries, at_once):
+    """Many ties, keys that come in several rows, terms of almost all chunks, a few hash parts, and several passes."""
+    monkeypatch.setattr(t, "PARTS", parts)
+    monkeypatch.setattr(t, "FIRST_PARTS", int(parts > 16))
+    monkeypatch.setattr(t, "QUERIES", queries)
+    monkeypatch.setattr(t, "CHUNKS", at_once)
+    r = random.Random(k)
+    words = ["every", *[f"w{i}" for i in range(60)]]
+    line = lambda n: " ".join(r.choices(words, [1 / (i + 1) for i in range(61)], k=n))
+    chunks = [(f"c{i:03d}", "every " + line(r.randint(1, 30))) for i in range(150)] + [(f"same{i}", "w1 w2 w40") for i in range(30)] + [("e", ""), ("n", "zz"), ("null", None)]
+    asked = [(f"q{i}", line(r.randint(1, 12))) for i in range(25)] + [("none", "unknown words"), ("empty", ""), ("same", "w1 w2 w40")]
+    frame = spark.createDataFrame(chunks, "chunk_id string, text string").repartition(5)
+    vocab, index = t.tfidf_index(frame, max_features=40, packed=True)
+    got = t.retrieve_batch(spark.createDataFrame(asked, "query_id string, text string"), vocab, index, k, min_sim)
+    want = brute([(i, x or "") for i, x in chunks], asked, k, min_sim, 40)
+    assert sorted((x["query_id"], x["chunk_id"], x["similarity"], x["rank"]) for x in got.collect()) == want
+    assert index.count() == t.tfidf_index(frame, max_features=40)[1].select("chunk_id").distinct().count()
+
+
+def test_rows_of_a_key_are_counted_together(spark):
+    """A key that comes in more rows than a batch holds, beside others and a missing one."""
+    rows = [("many", "a1 b1")] * 25_000 + [(None, "b1 c1")] * 3 + [("one", "c1 c1 d1"), ("two", "a1")]
+    lists = t._term_lists(spark.createDataFrame(rows, "key string, text string").repartition(4), "key", "text", ())
+    words = ["a1", "b1", "c1", "a1 b1", "never"]
+    found = {x["key"]: dict(zip([words[i] for i in x["at"]], x["tf"])) for x in t._places(lists, "key", words).collect()}
+    assert found == {"many": {"a1": 25_000, "b1": 25_000, "a1 b1": 25_000}, None: {"b1": 3, "c1": 3}, "one": {"c1": 2}, "two": {"a1": 1}}
+
+
+def test_no_text_is_moved_or_written(spark, monkeypatch):
+    """Of a chunk only numbers of terms move to its key, and texts and postings by term are written nowhere."""
+    made = []
+    for name in ("cut_lineage", "stored"):
+        whole = getattr(t, name)
+        monkeypatch.setattr(t, name, lambda df, *a, whole=whole: made.append(df) or whole(df, *a))
+    vocab, index = t.tfidf_index(tq._chunks(spark, MIDDLE), stop_words=tq.STOPS, packed=True)
+    t.retrieve(tq.QUESTION, vocab, index, stop_words=tq.STOPS)
+    assert made and not [df for df in made if "text" in df.columns or "weight" in df.columns]
+    places, = (df for df in made if df.columns == ["chunk_id", "at", "tf"])
+    moved = re.findall(r"Exchange hashpartitioning\((.*?)\)", places._jdf.queryExecution().executedPlan().toString())
+    assert len(moved) == 1 and moved[0].startswith("chunk_id")
