@@ -19,6 +19,7 @@ from cardlens.plans import load_all
 from cardlens.plans.features_queries import model_features
 from cardlens.plans.registry import PLANS
 from cardlens.session import cut_lineage
+from cardlens.sources.bucketed import store_facts
 from cardlens.sources.model import MCC_CODES
 from cardlens.sources.writers import stored
 
@@ -177,3 +178,33 @@ def test_cells_between_thresholds_keep_the_side(spark):
     names = [f"_code{c}" for c in range(len(codes))]
     seen = df.select("*", *[c.alias(n) for c, n in zip(codes, names)]).select("*", *[v(names).alias(f"_{n}") for n, v in read.items()]).collect()
     assert len(codes) > 1 and all((x[n] <= t) == (x[f"_{n}"] <= t) for x in seen for n, ts in edges.items() for t in ts)
+
+
+def test_permuted_rows_of_few_features_lie_on_disk_together(spark, monkeypatch):
+    """Results of earlier features are written before the next are moved, and nothing else changes."""
+    r = random.Random(9)
+    names = ["a", "b", "c", "e", "f"]
+    rows = [(f"t{i}", *(x := [r.random() for _ in names]), int(sum(x) + r.random() > 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, f"transaction_id string, {', '.join(f'{n} double' for n in names)}, fraud_proxy int")
+    model = fraud.train_fraud_model(df, names, kind="forest", trees=3, depth=3)
+    monkeypatch.setattr(fraud, "TOGETHER", 9, raising=False)
+    want = fraud.permutation_importance(model, df, names, group_rows=100).collect()
+    made = []
+    monkeypatch.setattr(fraud, "TOGETHER", 2)
+    monkeypatch.setattr(fraud, "cut_lineage", lambda f: made.append(f.columns) or cut_lineage(f))
+    assert fraud.permutation_importance(model, df, names, group_rows=100).collect() == want and len(want) == 5
+    assert made == [["feature", "roc_auc"]] * 2
+
+
+def test_bucketed_tables_are_packed_closely_and_leave_no_shuffle(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(b.name()) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllBlocks()) if "shuffle_" in b.name()}
+    heavy = spark.createDataFrame([("=c1", 2)], "heavy_key string, parts int")
+    before = files()
+    table = store_facts(payments(spark), f"facts_{random.randrange(1 << 40)}", "hpan", ["transaction_id"], heavy, 4, str(tmp_path / "facts"))
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 600
+    assert {pq.ParquetFile(p).metadata.row_group(0).column(0).compression for p in (tmp_path / "facts").glob("*.parquet")} == {"ZSTD"}
